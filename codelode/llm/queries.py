@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelode.llm import encodings, neardup, neighbours, packing, pieces, tokens
+from codelode.llm import encodings, neardup, neighbours, packing, parsing, pieces, tokens
 from codelode.session import table
 
 #: Words per shingle and similarity that TESTDATA.md states for problem 5.
@@ -28,6 +28,20 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces.split_pieces(table(spark, d, "code_chunks"))
 
 
+# 4: functions with their documentation
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Functions with a description of at least five words, of files that parse."""
+    return parsing.documented_functions(table(spark, d, "code_chunks"), table(spark, d, "ext_languages"), with_code=False).select("id", "function_name")
+
+
+def p4_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Code and description pairs, broken files' whole functions included, templates left out."""
+    found = parsing.documented_functions(table(spark, d, "code_chunks"), table(spark, d, "ext_languages"), keep_invalid=True)
+    return parsing.without_templates(found)
+
+
 # 5: near-duplicate records
 
 
@@ -43,6 +57,19 @@ def p5_groups(spark: SparkSession, d: str) -> DataFrame:
     return neardup.near_duplicate_groups(members, links)
 
 
+# 6: files that do not parse
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Files with a chunk that every dialect of their language rejects."""
+    return parsing.invalid_files(table(spark, d, "code_chunks"), table(spark, d, "ext_languages"))
+
+
+def p6_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Their share per project and language."""
+    return parsing.invalid_rates(table(spark, d, "code_chunks"), table(spark, d, "ext_languages"), table(spark, d, "projects"))
+
+
 # 7: most similar vectors
 
 
@@ -102,7 +129,7 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
     return encodings.restore_encoding(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_pieces, p5_found, p5_groups, p7_found, p7_neighbours, p8_ids, p8_offsets, p8_decoded, p9_packed, p9_containers, p10_found, p10_restored)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_pieces, p4_found, p4_pairs, p5_found, p5_groups, p6_found, p6_rates, p7_found, p7_neighbours, p8_ids, p8_offsets, p8_decoded, p9_packed, p9_containers, p10_found, p10_restored)}
 
 ORACLE_SQL: dict[str, str] = {
     "p2_found": "SELECT id FROM code_chunks WHERE length(content) > 2000",

@@ -28,8 +28,17 @@ def local_session(cores: int | str = "*", app: str = "codelode", **conf: str) ->
     return spark
 
 
+def share_code(spark: SparkSession) -> None:
+    """Lets Python workers that see this folder import the package from it, wherever they start."""
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    if here not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (here, env.get("PYTHONPATH", "")) if x)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables below ``sf_dir``."""
+    share_code(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -7,8 +7,9 @@ probability Jaccard similarity (for equal weights: the Jaccard similarity). Band
 propose pairs, the shingle sets decide them.
 
 Texts with equal shingle sets form one class from the start, so a group of copies of any size
-costs one node. Buckets stream through sorted partitions; those above ``bucket_limit`` nodes go
-through an exact prefix-filter join instead of pairing up within the bucket.
+costs one node. Buckets stream through sorted partitions; those above ``bucket_limit`` nodes are not
+paired up but split by the other buckets of their nodes, and where even that leaves a large one,
+an exact prefix-filter join takes over.
 """
 
 from __future__ import annotations
@@ -186,7 +187,7 @@ def _pairs_of_runs(similarity: float, limit: int):
         def emit(big, a, b):
             return pa.RecordBatch.from_arrays([pa.array(big, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=names)
 
-        key0, nodes, large = None, [], False  # the bucket that may go on in the next batch
+        key0, nodes, large, last = None, [], False, None  # the bucket that may go on in the next batch
         for batch in batches:
             key, cls, n = (batch.column(k).to_numpy() for k in range(3))
             if not len(key):
@@ -224,12 +225,14 @@ def _pairs_of_runs(similarity: float, limit: int):
                             large = True
                             out_big += [key0] * len(nodes)
                             out_a += [x for x, _ in nodes]
-                            out_b += [None] * len(nodes)
+                            out_b += [y for _, y in nodes]
                             nodes = []
-                    else:
+                            last = c
+                    elif c != last:
+                        last = c
                         out_big.append(key0)
                         out_a.append(c)
-                        out_b.append(None)
+                        out_b.append(int(n[j]))
             if out_a:
                 yield emit(out_big, out_a, out_b)
         out_big, out_a, out_b = [], [], []
@@ -247,6 +250,12 @@ def _pairs_of_runs(similarity: float, limit: int):
     return run
 
 
+def _meetings(keyed: DataFrame, similarity: float, limit: int) -> DataFrame:
+    """``(big, a, b)``: pairs of classes that share a small bucket, or (key, class, size) of large ones."""
+    runs = keyed.repartition(F.col("key")).sortWithinPartitions("key", "cls")
+    return runs.mapInArrow(_pairs_of_runs(similarity, limit), "big bigint, a bigint, b bigint")
+
+
 def _sets_of(df: DataFrame, members: DataFrame, nodes: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
     """``(cls, items, counts)`` of the wanted classes, from the text of one member each."""
     wanted = members.groupBy("cls").agg(F.min("id").alias("id")).join(nodes, "cls", "left_semi")
@@ -332,17 +341,31 @@ def near_duplicate_classes(
     sig = cut_lineage(signatures(df, id_col, text_col, words, bands, rows, weighted))
     members = sig.select("id", "cls", "n")
     keyed = sig.where(F.size("keys") > 0).select(F.explode("keys").alias("key"), "cls", "n")
-    runs = keyed.repartition(F.col("key")).sortWithinPartitions("key", "cls")
     low = similarity if not weighted else similarity / 4
-    met = runs.mapInArrow(_pairs_of_runs(low, bucket_limit), "big bigint, a bigint, b bigint")
-    # a large bucket's nodes count once; they are compared exactly below
-    met = met.select(F.col("big").isNotNull().alias("big"), "a", "b").groupBy("big", "a", "b").agg(F.count("*").alias("c"))
-    found = cut_lineage(met.where(F.col("big") | (F.col("c") >= matches)).select("big", "a", "b"))
-    pairs = found.where("not big").select("a", "b")
-    big = found.where("big").select("a")
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("cls")).union(big.withColumnRenamed("a", "cls")).distinct()
-    sets = _sets_of(df, members, nodes, id_col, text_col, words)
-    if not big.isEmpty():
+    met = cut_lineage(_meetings(keyed, low, bucket_limit))
+    once = met.where("big is null").groupBy("a", "b").agg(F.count("*").alias("c"))
+    crowd = met.where("big is not null").select("big", F.col("a").alias("cls"), F.col("b").cast("int").alias("n"))
+    pairs = once.where(F.col("c") >= matches).select("a", "b")
+    big = None
+    if not crowd.isEmpty():
+        # the second meeting of a pair may have been in a large bucket: once in a small one will do then
+        crowded = crowd.select("cls").distinct()
+        half = once.where(F.col("c") < matches).select("a", "b")
+        half = half.join(crowded.withColumnRenamed("cls", "a"), "a", "left_semi").join(crowded.withColumnRenamed("cls", "b"), "b", "left_semi").select("a", "b")
+        # or all its meetings were in large ones: buckets of two large buckets each are far smaller
+        own = crowd.groupBy("cls", "n").agg(F.array_sort(F.collect_set("big")).alias("ks")).where(F.size("ks") > 1)
+        two = own.select("cls", "n", F.posexplode("ks").alias("i", "k"), "ks").select("cls", "n", "k", F.explode(F.slice("ks", F.col("i") + 2, F.size("ks"))).alias("k2"))
+        again = cut_lineage(_meetings(two.select(F.xxhash64("k", "k2").alias("key"), "cls", "n"), low, bucket_limit))
+        pairs = pairs.union(half).union(again.where("big is null").select("a", "b")).distinct()
+        big = again.where("big is not null").select("a")
+        if big.isEmpty():
+            big = None
+    pairs = cut_lineage(pairs)
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("cls"))
+    if big is not None:
+        nodes = nodes.union(big.withColumnRenamed("a", "cls"))
+    sets = _sets_of(df, members, nodes.distinct(), id_col, text_col, words)
+    if big is not None:
         sets = cut_lineage(sets)
         pairs = pairs.union(_large_bucket_pairs(big, sets, low)).distinct()
     xs = sets.select(F.col("cls").alias("a"), F.col("items").alias("x_items"), F.col("counts").alias("x_counts"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelode.llm import encodings, neardup, neighbours, packing, parsing, pieces, tokens
+from codelode.llm import credentials, encodings, neardup, neighbours, packing, parsing, pieces, tokens
 from codelode.session import table
 
 #: Words per shingle and similarity that TESTDATA.md states for problem 5.
@@ -28,6 +28,24 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces.split_pieces(table(spark, d, "code_chunks"))
 
 
+# 3: credentials in source code
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Lines on which a credential begins."""
+    return credentials.find_credentials(table(spark, d, "code_chunks")).select("id", "line_no").distinct()
+
+
+def p3_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Every credential with its place in the content."""
+    return credentials.find_credentials(table(spark, d, "code_chunks"))
+
+
+def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """Content of every chunk, with credentials blanked."""
+    return credentials.find_credentials(table(spark, d, "code_chunks"), redact=True, only_found=False)
+
+
 # 4: functions with their documentation
 
 
@@ -129,7 +147,7 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
     return encodings.restore_encoding(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_pieces, p4_found, p4_pairs, p5_found, p5_groups, p6_found, p6_rates, p7_found, p7_neighbours, p8_ids, p8_offsets, p8_decoded, p9_packed, p9_containers, p10_found, p10_restored)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_spans, p3_redacted, p4_found, p4_pairs, p5_found, p5_groups, p6_found, p6_rates, p7_found, p7_neighbours, p8_ids, p8_offsets, p8_decoded, p9_packed, p9_containers, p10_found, p10_restored)}
 
 ORACLE_SQL: dict[str, str] = {
     "p2_found": "SELECT id FROM code_chunks WHERE length(content) > 2000",

@@ -7,13 +7,31 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelode.llm import credentials, encodings, neardup, neighbours, packing, parsing, pieces, tokens
+from codelode.llm import credentials, encodings, generated, neardup, neighbours, packing, parsing, pieces, tokens
 from codelode.session import table
 
 #: Words per shingle and similarity that TESTDATA.md states for problem 5.
 P5 = {"words": 3, "similarity": 0.6}
 
 
+# 1: files that were not written by hand
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Generated, minified and copied files, and data kept as code."""
+    return p1_reasons(spark, d).select("file_path")
+
+
+def p1_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """The same files with the reason."""
+    return generated.not_hand_written(table(spark, d, "code_chunks"), table(spark, d, "ext_languages"))
+
+
+def p1_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Ids of the chunks of all other files."""
+    return table(spark, d, "code_chunks").select("id", "file_path").join(p1_found(spark, d), "file_path", "left_anti").select("id")
+
+
 # 2: splitting oversized items
 
 
@@ -147,7 +165,7 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
     return encodings.restore_encoding(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_spans, p3_redacted, p4_found, p4_pairs, p5_found, p5_groups, p6_found, p6_rates, p7_found, p7_neighbours, p8_ids, p8_offsets, p8_decoded, p9_packed, p9_containers, p10_found, p10_restored)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_reasons, p1_kept, p2_found, p2_pieces, p3_found, p3_spans, p3_redacted, p4_found, p4_pairs, p5_found, p5_groups, p6_found, p6_rates, p7_found, p7_neighbours, p8_ids, p8_offsets, p8_decoded, p9_packed, p9_containers, p10_found, p10_restored)}
 
 ORACLE_SQL: dict[str, str] = {
     "p2_found": "SELECT id FROM code_chunks WHERE length(content) > 2000",

@@ -29,7 +29,7 @@ def chunk_rows(files: DataFrame, make: Callable[[], Provider]) -> DataFrame:
 def index_repository(store: Store, repo_path: str, force: bool = False, name: str | None = None, make: Callable[[], Provider] = HashingProvider, model: str = "hashing") -> dict:
     """Brings the index of one repository up to date; returns the figures of the run.
 
-    Files that are new, or newer than the last run, are cut and embedded again; chunks of files
+    Files that the last run did not see, or saw with an older modification, are cut and embedded again; chunks of files
     that are gone are dropped; a file that can't be read keeps its chunks. ``force`` takes all
     files. Readers see the old version until the new one is complete.
     """
@@ -44,10 +44,10 @@ def index_repository(store: Store, repo_path: str, force: bool = False, name: st
     indexed = old.select("file_path").distinct()
     gone = indexed.join(disk.select(F.col("path").alias("file_path")), "file_path", "left_anti").cache()
     todo = disk
-    if not force and before.get("last_indexed"):
-        since = F.timestamp_seconds(F.lit(before["last_indexed"]))
-        known = disk.join(indexed.withColumnRenamed("file_path", "path"), "path", "left_semi")
-        todo = disk.join(known.where(F.col("mtime") <= since), "path", "left_anti")
+    if not force:
+        known = store.seen(root).select("path", F.col("mtime").alias("known"))
+        same = disk.join(known, "path").where(F.col("mtime") <= F.col("known"))
+        todo = disk.join(same, "path", "left_anti")
     n_todo, n_gone = todo.count(), gone.count()
     stats = {"files_found": disk.count(), "files_changed": n_todo, "orphan_files": n_gone, "orphan_chunks_purged": 0, "chunks_written": 0, "total_chunks": before.get("total_chunks") or 0}
     if n_todo or n_gone or force:
@@ -57,7 +57,7 @@ def index_repository(store: Store, repo_path: str, force: bool = False, name: st
         replaced = files.select(F.col("path").alias("file_path"))
         keep = old.join(gone, "file_path", "left_anti").join(replaced, "file_path", "left_anti").select(*old.columns)
         n_keep = keep.count()
-        total = store.replace(root, keep.unionByName(fresh), model, make().dim, started, name)
+        total = store.replace(root, keep.unionByName(fresh), model, make().dim, started, name, disk.where(F.col("mtime").isNotNull()))
         stats |= {"chunks_written": total - n_keep, "total_chunks": total}
     stats["seconds"] = round(time.time() - started, 2)
     disk.unpersist()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from codelode.functions import text as X
+from codelode.session import spread
 
 
 def _words(queries: DataFrame) -> DataFrame:
@@ -29,9 +30,9 @@ def grep_naive(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     """
     words = _word_list(queries)
     held = F.filter(F.array(*[F.lit(w) for w in words]) if words else F.array().cast("array<string>"), lambda w: F.contains(F.col("content"), w))
-    files = chunks.select("file_path", F.length("content").alias("n"), held.alias("held"))
+    files = spread(chunks.select("file_path", "content")).select("file_path", F.length("content").alias("n"), held.alias("held"))
     size = files.groupBy("file_path").agg(F.floor(F.sum("n") / 4).cast("bigint").alias("tokens"))
-    has = files.select("file_path", F.explode("held").alias("word")).distinct()
+    has = files.select("file_path", F.explode_outer("held").alias("word")).where("word is not null").distinct()
     hit = has.join(F.broadcast(_words(queries)), "word").select("query_id", "file_path").distinct()
     out = hit.join(size, "file_path").groupBy("query_id").agg(F.count("*").alias("n_files"), F.sum("tokens").alias("n_tokens"))
     return queries.select("query_id").join(out, "query_id", "left").na.fill(0)
@@ -50,9 +51,10 @@ def grep_smart(chunks: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 
     # the lambda binds the lower-case text, so that it is made once per row and not once per word
     found = F.element_at(F.transform(F.array(F.lower("content")), counted), 1)
-    per = chunks.select("file_path", F.length("content").alias("n"), found.alias("f"))
+    per = spread(chunks.select("file_path", "content")).select("file_path", F.length("content").alias("n"), found.alias("f"))
     size = per.groupBy("file_path").agg(F.floor(F.sum("n") / 4).cast("bigint").alias("tokens"))
-    has = per.select("file_path", F.explode("f").alias("e")).groupBy("file_path", F.col("e.key").alias("word")).agg(F.sum("e.value").alias("c"))
+    # the outer form keeps the optimizer from evaluating the counts again in a filter of its own
+    has = per.select("file_path", F.explode_outer("f").alias("e")).where("e is not null").groupBy("file_path", F.col("e.key").alias("word")).agg(F.sum("e.value").alias("c"))
     hits = has.join(F.broadcast(_words(queries)), "word").groupBy("query_id", "file_path").agg(F.sum("c").alias("hits"))
     w = Window.partitionBy("query_id").orderBy(F.desc("hits"), "file_path")
     return hits.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k).join(size, "file_path").select("query_id", "file_path", "hits", "tokens")

@@ -71,7 +71,15 @@ class Store:
             return self.spark.createDataFrame([], COLUMNS)
         return self.spark.read.schema(COLUMNS).parquet(*[os.path.join(self.root, f) for f in folders])
 
-    def replace(self, repo_path: str, chunks: DataFrame, model: str | None = None, dim: int | None = None, started: float | None = None, name: str | None = None) -> int:
+    def seen(self, repo_path: str) -> DataFrame:
+        """``(path, mtime)`` of the files that the last run looked at, those without a chunk included."""
+        folder = self.manifest()["repos"].get(repo_path)
+        at = None if folder is None else os.path.join(self.root, folder, "_files")
+        if at is None or not os.path.isdir(at):
+            return self.spark.createDataFrame([], "path string, mtime timestamp")
+        return self.spark.read.schema("path string, mtime timestamp").parquet(at)
+
+    def replace(self, repo_path: str, chunks: DataFrame, model: str | None = None, dim: int | None = None, started: float | None = None, name: str | None = None, seen: DataFrame | None = None) -> int:
         """Makes ``chunks`` the repository's content; returns how many were written.
 
         A dimension other than the table's is an error. ``started`` becomes the project's
@@ -82,6 +90,8 @@ class Store:
             raise ValueError(f"the table holds vectors of {old['dim']} values, not {dim}")
         folder = os.path.join("data", f"repo_id={repo_id(repo_path)}", f"v={old['version'] + 1}-{uuid.uuid4().hex[:8]}")
         chunks.sortWithinPartitions("file_path", "start_line").write.parquet(os.path.join(self.root, folder))
+        # below the version's folder, under a name that scans of the chunks pass over
+        (self.seen(repo_path) if seen is None else seen).write.parquet(os.path.join(self.root, folder, "_files"))
         n = self.spark.read.schema(COLUMNS).parquet(os.path.join(self.root, folder)).count()
         new = json.loads(json.dumps(old))
         new["repos"][repo_path] = folder
@@ -99,7 +109,8 @@ class Store:
         keep = now.join(paths.select("file_path").distinct(), "file_path", "left_anti").select(*now.columns)
         before = now.count()
         last = self.manifest()["projects"].get(repo_path, {}).get("last_indexed")
-        return before - self.replace(repo_path, keep, started=last)
+        seen = self.seen(repo_path).join(paths.select(F.col("file_path").alias("path")).distinct(), "path", "left_anti")
+        return before - self.replace(repo_path, keep, started=last, seen=seen)
 
     def remove(self, repo_path: str) -> int:
         """Drops a repository and its project; returns its number of chunks."""
@@ -127,4 +138,4 @@ class Store:
         """The registry with the schema of the project table."""
         rows = [(k, p, v["last_indexed"], v.get("total_chunks") or 0, {"name": v.get("name") or ""}) for k, (p, v) in enumerate(sorted(self.manifest()["projects"].items()), 1)]
         df = self.spark.createDataFrame(rows, "id int, path string, t double, total_chunks int, metadata map<string,string>")
-        return df.select("id", "path", F.timestamp_seconds("t").alias("last_indexed"), "total_chunks", "metadata").to(schema.PROJECTS) if rows else self.spark.createDataFrame([], schema.PROJECTS)
+        return df.select("id", "path", F.timestamp_seconds("t").alias("last_indexed"), "total_chunks", "metadata") if rows else self.spark.createDataFrame([], schema.PROJECTS)

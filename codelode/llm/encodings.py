@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from codelode.session import spread
+
 #: Codecs through which UTF-8 bytes are commonly shown (fixed values).
 BYTE_VIEWS = ("cp1252", "latin-1", "cp437", "cp850", "mac_roman", "cp1250", "cp1251", "cp1254", "cp866", "koi8-r", "iso8859-2", "iso8859-5", "iso8859-15")
 #: Pairs (shown as, really) of single-byte and multi-byte codecs that are confused with each other.
@@ -350,4 +352,4 @@ def restore_encoding(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             ids = batch.column(0).take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays([ids, pa.array(texts, pa.string()), pa.array(places, pa.int32()), pa.array(lost, pa.int32())], names=schema.names)
 
-    return src.mapInArrow(run, schema)
+    return spread(src).mapInArrow(run, schema)

@@ -218,14 +218,14 @@ primary := NAME | NUM | STR+ | '(' expr ')' | '(' block ')' | '_Generic' '(' arg
 # ---------------------------------------------------------------- JavaScript and TypeScript
 
 _JS = r"""
-file := (stmt | simple (end | ':'))+
+file := (stmt | sexpr (end | ':') | simple end)+
 id := NAME | 'of' | 'get' | 'set' | 'async' | 'from' | 'as' | 'static' | 'type' | 'readonly' | 'declare' | 'abstract' | 'namespace' | 'module' | 'keyof' | 'is' | 'public' | 'private' | 'protected' | 'override' | 'satisfies' | 'infer' | 'accessor' | 'global' | 'asserts' | 'unique' | 'any' | 'unknown' | 'never' | 'string' | 'number' | 'boolean' | 'object' | 'symbol' | 'bigint' | 'undefined' | 'target' | 'meta' | 'interface'
 anyname := id | 'if' | 'else' | 'for' | 'while' | 'do' | 'return' | 'break' | 'continue' | 'switch' | 'case' | 'default' | 'throw' | 'try' | 'catch' | 'finally' | 'new' | 'delete' | 'typeof' | 'void' | 'in' | 'instanceof' | 'this' | 'super' | 'class' | 'extends' | 'function' | 'var' | 'const' | 'import' | 'export' | 'null' | 'true' | 'false' | 'enum' | 'debugger' | 'with' | 'implements' | 'let' | 'yield' | 'await'
 end := ';' | ASI
 block := '{' stmts? '}'
-stmts := (stmt | simple (end | ':'))+ simple? | simple
-simple := sexpr | 'return' expr? | 'throw' expr | 'break' id? | 'continue' id? | 'debugger' | ('var' | 'let' | 'const') vars
-sub := stmt | simple end?
+stmts := (stmt | sexpr (end | ':') | simple end)+ (sexpr | simple)? | sexpr | simple
+simple := 'return' expr? | 'throw' expr | 'break' id? | 'continue' id? | 'debugger' | ('var' | 'let' | 'const') vars
+sub := stmt | (sexpr | simple) end?
 stmt := block | end | func | class | 'if' '(' expr ')' sub ('else' sub)? | 'while' '(' expr ')' sub | 'do' sub 'while' '(' expr ')' end?
   | 'for' 'await'? '(' forhead ')' sub | 'switch' '(' expr ')' '{' case* '}'
   | 'try' block (ASI? 'catch' ('(' pattern %COLON% ')')? block)? (ASI? 'finally' block)? | import | export | decorated %TSSTMT%
@@ -559,8 +559,7 @@ inline := '{' (pair (',' pair)*)? '}'
 """.replace("file := NL* (line (NL+ line)*)? NL*", "file := NL | NL* line (NL+ line)* NL*")
 
 YAML = r"""
-file := (doc | MARK)+
-doc := DIRECTIVE | node
+file := DIRECTIVE* (node | MARK node?) (MARK node?)*
 node := mapping | sequence | scalar | flow NL
 scalar := SCALAR NL (SCALAR NL)* (INDENT (SCALAR NL)+ DEDENT)?
 mapping := entry+

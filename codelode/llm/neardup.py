@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codelode.session import cut_lineage
+from codelode.session import cut_lineage, spread
 
 WORD = re.compile(r"[A-Za-z0-9_]+")
 WORDS, SIMILARITY = 5, 0.8
@@ -143,7 +143,7 @@ def signatures(df: DataFrame, id_col: str, text_col: str, words: int, bands: int
     The keys of a class come out once per task; its other rows have null keys. Texts without a
     shingle are left out: they are similar to nothing.
     """
-    src = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("t"))
+    src = spread(df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("t")))
     schema = "id bigint, cls bigint, n int, keys array<bigint>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

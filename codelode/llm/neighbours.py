@@ -330,7 +330,9 @@ def nearest_neighbours(
     raw = raw.select("id", "v", F.xxhash64("v").alias("h"))
     by_hash = Window.partitionBy("h").orderBy("id")
     # the limit runs before the shuffle too, so a third of all rows under one vector cost k + 1 rows a task
-    firsts = cut_lineage(raw.select("id", "h", "v").withColumn("rn", F.row_number().over(by_hash)).where(F.col("rn") <= k + 1))
+    firsts = raw.select("id", "h", "v").withColumn("rn", F.dense_rank().over(by_hash)).where(F.col("rn") <= k + 1)
+    before = F.lag("id").over(by_hash)  # repeated rows of one id lie side by side
+    firsts = cut_lineage(firsts.withColumn("before", before).where("before is null or before <> id").drop("before"))
     nodes = firsts.where("rn = 1").select("id", "v")
     n = nodes.count()
     empty = spark.createDataFrame([], "id bigint, neighbour_id bigint, similarity double, rank int")

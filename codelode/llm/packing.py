@@ -1,9 +1,10 @@
 """Packing token sequences into containers of fixed capacity, with certified lower bounds.
 
-Every partition is packed by best-fit decreasing and certified against lower bounds from dual
-feasible functions. Containers that a certificate does not settle give their items up; these are
-exchanged between fewer, mixed partitions and packed again, until the total reaches the bound of
-the whole corpus, one partition is left, or the given number of rounds is over. Only numbers
+Every partition is packed by best-fit decreasing; lower bounds from dual feasible functions
+certify a partition, and the whole corpus. While the corpus is above its bound, containers with a
+gap give their documents up; these are exchanged between fewer, mixed partitions and packed
+again, until the bound is reached, a round gains nothing, one partition is left, or the given
+number of rounds is over. Only numbers
 (id, piece, size) move; texts never leave the scan.
 """
 
@@ -22,7 +23,7 @@ from codelode.session import cut_lineage
 CAPACITY = 2048
 #: Items that one task packs at a time; bounds memory, not the result's completeness.
 GROUP_ITEMS = 20_000
-#: A container of an unsettled partition stays closed when at most this share of it is unused.
+#: A container counts as full when at most this share of it is unused.
 TOLERANCE = 0.005
 ROUNDS = 6
 
@@ -81,23 +82,18 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, n
     return where, np.bincount(where, weights=sizes, minlength=n).astype(np.int64)
 
 
-def _pack_group(pdf: pd.DataFrame, name: str, capacity: int, tolerance: float) -> pd.DataFrame:
+def _pack_group(pdf: pd.DataFrame, name: str, capacity: int, tolerance: float, final: bool) -> pd.DataFrame:
     sizes = pdf["n"].to_numpy(dtype=np.int64)
     where, used = best_fit_decreasing(sizes, capacity)
     uniq, cnt = np.unique(sizes, return_counts=True)
-    certified = len(used) == lower_bound(uniq, cnt, capacity)
-    free = capacity - used
-    if certified:
-        # as few containers as these items allow: only the emptiest one may still take others
-        loose = np.zeros(len(used), dtype=bool)
-        if len(used):
-            loose[int(np.argmax(free))] = free.max() > 0
+    if final and len(used) == lower_bound(uniq, cnt, capacity):
+        loose = np.zeros(len(used), dtype=bool)  # as few containers as these items allow
     else:
-        loose = free > tolerance * capacity
+        loose = capacity - used > tolerance * capacity
     return pdf.assign(container=[f"{name}-{c}" for c in where.tolist()], open=loose[where])
 
 
-def _pack_in_place(df: DataFrame, rnd: int, capacity: int, group_items: int, tolerance: float) -> DataFrame:
+def _pack_in_place(df: DataFrame, rnd: int, capacity: int, group_items: int, tolerance: float, final: bool) -> DataFrame:
     """Packs within each partition of ``df``, in groups of at most ``group_items``; no shuffle."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -113,10 +109,10 @@ def _pack_in_place(df: DataFrame, rnd: int, capacity: int, group_items: int, tol
                 held.append(take)
                 rows += len(take)
                 if rows == group_items:
-                    yield _pack_group(pd.concat(held, ignore_index=True), f"r{rnd}p{part}g{k}", capacity, tolerance)
+                    yield _pack_group(pd.concat(held, ignore_index=True), f"r{rnd}p{part}g{k}", capacity, tolerance, final)
                     held, rows, k = [], 0, k + 1
         if rows:
-            yield _pack_group(pd.concat(held, ignore_index=True), f"r{rnd}p{part}g{k}", capacity, tolerance)
+            yield _pack_group(pd.concat(held, ignore_index=True), f"r{rnd}p{part}g{k}", capacity, tolerance, final)
 
     return df.select("id", "piece_no", "n").mapInPandas(run, SCHEMA)
 
@@ -152,17 +148,22 @@ def pack_items(items: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS,
     items = cut_lineage(items.where(F.col("n") > 0).select(F.col("id").cast("bigint").alias("id"), F.col("piece_no").cast("int").alias("piece_no"), F.col("n").cast("int").alias("n")))
     sizes, counts = size_histogram(items, capacity)
     bound = lower_bound(sizes, counts, capacity)
-    whole = items.where(F.col("n") == capacity).select("id", "piece_no", "n", F.concat(F.lit("w"), F.col("id"), F.lit("-"), F.col("piece_no")).alias("container"))
-    todo = items.where(F.col("n") < capacity)
+    whole = items.where(F.col("n") == capacity).select("id", "piece_no", "n", F.concat(F.lit("w"), F.monotonically_increasing_id()).alias("container"))
+    # small splits are read together, since larger groups pack better; this moves nothing
+    todo = items.where(F.col("n") < capacity).coalesce(max(1, -(-int(counts.sum()) // group_items)))
     done = [whole]
     closed = int(counts[sizes == capacity].sum()) if len(sizes) else 0
     parts = None
     open_bins, last = 0, None
     rnd = 0
     for rnd in range(1, rounds + 1):
-        packed = cut_lineage(_pack_in_place(todo, rnd, capacity, group_items, tolerance))
+        # a single partition that its own bound certifies is settled for good
+        packed = cut_lineage(_pack_in_place(todo, rnd, capacity, group_items, tolerance, parts == 1))
         per = packed.groupBy("open").agg(F.count_distinct("container").alias("c"), F.count("*").alias("n")).collect()
         state = {r["open"]: (r["c"], r["n"]) for r in per}
+        now = state.get(False, (0, 0))[0] + state.get(True, (0, 0))[0]
+        if last is not None and now >= open_bins:
+            break  # the exchange gained nothing: the containers before it stay
         closed += state.get(False, (0, 0))[0]
         open_bins, open_items = state.get(True, (0, 0))
         done.append(packed.where(~F.col("open")).select("id", "piece_no", "n", "container"))

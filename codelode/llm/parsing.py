@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from codelode.llm import grammars
 from codelode.llm.gll import ERROR
-from codelode.session import cut_lineage
+from codelode.operators.projects import project_of
+from codelode.session import cut_lineage, spread
 
 MIN_WORDS = 5
 #: A description found in more files than this is a template and says nothing about a function.
@@ -348,7 +349,7 @@ def functions(text: str, language: str) -> tuple[bool, list[tuple[str, str, int,
 def _with_language(chunks: DataFrame, ext_languages: DataFrame, cols: list[Column]) -> DataFrame:
     """The wanted columns and ``language`` by extension; the table of extensions is fixed and small."""
     ext = ext_languages.select(F.lower("ext").alias("__ext"), F.col("language").alias("language")).dropDuplicates(["__ext"])
-    return chunks.select(*cols, extension(F.col("file_path")).alias("__ext")).join(F.broadcast(ext), "__ext").drop("__ext")
+    return spread(chunks.select(*cols, extension(F.col("file_path")).alias("__ext"))).join(F.broadcast(ext), "__ext").drop("__ext")
 
 
 def invalid_files(chunks: DataFrame, ext_languages: DataFrame) -> DataFrame:
@@ -373,23 +374,10 @@ def invalid_files(chunks: DataFrame, ext_languages: DataFrame) -> DataFrame:
     return src.mapInArrow(run, "file_path string").distinct()
 
 
-def project_of(files: DataFrame, projects: DataFrame) -> DataFrame:
-    """``files`` with ``project``: the longest project path that the file lies below, else null.
-
-    Joins on equal path prefixes, so no file meets a project it does not lie in.
-    """
-    parts = F.split("file_path", "/")
-    prefixes = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
-    known = projects.select(F.col("path").alias("__path")).distinct()
-    hit = files.select("file_path").distinct().select("file_path", F.explode(prefixes).alias("__path")).join(known, "__path")
-    best = hit.groupBy("file_path").agg(F.max_by("__path", F.length("__path")).alias("project"))
-    return files.join(best, "file_path", "left")
-
-
 def invalid_rates(chunks: DataFrame, ext_languages: DataFrame, projects: DataFrame) -> DataFrame:
     """``(project, language, n_files, n_invalid, share)`` over the files of known extensions."""
     bad = invalid_files(chunks, ext_languages).withColumn("__bad", F.lit(1))
-    files = _with_language(chunks.select("file_path").distinct(), ext_languages, [F.col("file_path")])
+    files = _with_language(chunks.select("file_path"), ext_languages, [F.col("file_path")]).distinct()
     both = project_of(files.join(bad, "file_path", "left"), projects)
     return both.groupBy("project", "language").agg(F.count("*").alias("n_files"), F.count("__bad").alias("n_invalid"), F.round(F.count("__bad") / F.count("*"), 6).alias("share"))
 

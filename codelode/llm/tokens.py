@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from codelode.session import spread
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 
 #: Texts are handed to the library in groups of about so many characters, which bounds its memory.
@@ -109,7 +111,7 @@ def encode(
     A null and an empty text give empty lists. Other columns are dropped before the Python step,
     so columns with clashing names cannot disturb it. Repeated rows stay repeated.
     """
-    src = df.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"))
+    src = spread(df.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text")))
     fields = [T.StructField(id_col, src.schema["__id"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))]
     if offsets:
         fields += [T.StructField("starts", T.ArrayType(T.IntegerType())), T.StructField("ends", T.ArrayType(T.IntegerType()))]
@@ -134,7 +136,7 @@ def encode(
 
 def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = VOCABULARY) -> DataFrame:
     """``(id, n_tokens)`` per row; only the number leaves the Python worker."""
-    src = df.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"))
+    src = spread(df.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text")))
     schema = T.StructType([T.StructField(id_col, src.schema["__id"].dataType), T.StructField("n_tokens", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

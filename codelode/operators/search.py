@@ -101,21 +101,28 @@ def batch_search(chunks: DataFrame, queries: DataFrame, k: int = 10, dim: int =
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             qids, qv = shared.value
-            best_s = np.full((len(qids), k), -np.inf)
-            best_i = np.full((len(qids), k), np.iinfo(np.int64).max)
+            best = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))  # query number, score, chunk
+            least = np.full((len(qids), 1), -np.inf)
             for batch in batches:
                 for lo in range(0, batch.num_rows, 2048):
                     b = batch.slice(lo, 2048)
                     cid = b.column(0).to_numpy()
                     x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
                     s = np.round(qv @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T, 9)
-                    all_s = np.concatenate([best_s, s], axis=1)
-                    all_i = np.concatenate([best_i, np.broadcast_to(cid, s.shape)], axis=1)
-                    order = np.lexsort((all_i, -all_s), axis=1)[:, :k]
-                    best_s, best_i = np.take_along_axis(all_s, order, 1), np.take_along_axis(all_i, order, 1)
-            r, c = np.nonzero(np.isfinite(best_s))
-            if len(r):
-                yield pa.RecordBatch.from_arrays([pa.array(qids[r]), pa.array(best_i[r, c]), pa.array(best_s[r, c])], names=["query_id", "chunk_id", "score"])
+                    # after a few blocks hardly anything reaches a query's k-th best; ties do
+                    r, c = np.nonzero(s >= least)
+                    if not len(r):
+                        continue
+                    n, v, i = (np.concatenate(z) for z in zip(best, (r, s[r, c], cid[c]), strict=True))
+                    order = np.lexsort((i, -v, n))
+                    n, v, i = n[order], v[order], i[order]
+                    start = np.searchsorted(n, n)
+                    rank = np.arange(len(n)) - start
+                    keep = rank < k
+                    least[n[rank == k - 1], 0] = v[rank == k - 1]
+                    best = (n[keep], v[keep], i[keep])
+            if len(best[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(qids[best[0]]), pa.array(best[2]), pa.array(best[1])], names=["query_id", "chunk_id", "score"])
 
         found = src.mapInArrow(run, "query_id bigint, chunk_id bigint, score double")
         out = found if out is None else out.unionByName(found)

@@ -27,8 +27,8 @@ SAMPLE = 20_000
 CELL = 3_000
 MAX_CELLS = 4_096
 #: Cells searched per query, those whose centre is nearly as near as the nearest one.
-PROBES, PROBE_MARGIN = 3, 0.15
-DEGREE, BEAM, ALPHA, EXPAND = 16, 20, 1.2, 8
+PROBES, PROBE_MARGIN = 4, 0.2
+DEGREE, BEAM, ALPHA, EXPAND = 20, 28, 1.2, 8
 BATCH = 512
 
 

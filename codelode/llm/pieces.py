@@ -91,7 +91,8 @@ def split_pieces(
     src = src.withColumn("__n", before)
     out = src.select("__id", "__s", F.size("__p").alias("__k"), F.posexplode(F.arrays_zip(F.col("__p").alias("p"), F.col("__o").alias("o"), F.col("__n").alias("n"))).alias("piece_no", "__z"))
     body, over, seen = F.col("__z.p"), F.col("__z.o"), F.col("__z.n")
-    ends_line = F.when(F.endswith(body, F.lit("\n")), 1).otherwise(0)
+    # a line end that closes the whole text is followed by an empty last line, as in the chunk's own end
+    ends_line = F.when(F.endswith(body, F.lit("\n")) & (F.col("piece_no") + 1 < F.col("__k")), 1).otherwise(0)
     return out.select(
         F.col("__id").alias(id_col),
         F.col("piece_no"),

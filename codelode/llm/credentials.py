@@ -1,11 +1,13 @@
 """Finding and blanking credentials in source code with a linear-chain conditional random field.
 
-Lines that could hold a credential are cut into lexical tokens; every token gets shape features
-(of itself) and context features (names, keywords and quotes around it), and the most probable
-label sequence by Viterbi decides which characters belong to a credential. The field is trained
-at first use, by gradient ascent on the conditional likelihood, on ``SAMPLES`` sequences that a
-seeded grammar of contexts and values makes up: no row of the data is needed, and every run has
-the same weights. They are a few thousand numbers and travel with the task.
+Every line is cut into lexical tokens; every token gets shape features (of itself) and context
+features (names, keywords and quotes around it), and the most probable label sequence by Viterbi
+decides which characters belong to a credential. Lines whose tokens can't reach that label in any
+context (an upper bound from the weights) skip it, which changes no label. The field is trained
+at first use, by gradient ascent on the conditional likelihood, on ``SAMPLES`` sequences, and a
+sixth as many without a word that tells, that a seeded grammar of contexts and values makes up: no
+row of the data is needed, and every run has the same weights. They are a few thousand numbers and
+travel with the task.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ import string
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import ne
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 
 from codelode.session import spread
 
-#: Labelled sequences the field is trained on, passes over them, and the seed of both.
+#: Labelled sequences the field is trained on (besides a sixth as many neutral ones), passes over them, and the seed of both.
 SAMPLES, EPOCHS, SEED = 6000, 24, 17
 BLANK = "*"
 
@@ -34,12 +37,12 @@ TOKEN = re.compile(
     r"""
     (?P<begin>-----BEGIN[ A-Z0-9]*-----) | (?P<end>-----END[ A-Z0-9]*-----)
   | (?P<nl>\n)
-  | (?P<url>[A-Za-z][A-Za-z0-9+]*://)
-  | (?P<user>(?<=://)[^\s:/@"'`]+(?=:[^\s@"'`]+@))
-  | (?P<upass>(?<=:)(?<!//)[^\s@"'`/]+(?=@[\w.\[%{$-]))
+  | (?P<url>[A-Za-z][A-Za-z0-9+]*+://)
+  | (?P<user>(?<=://)[^\s:/@"'`]++(?=:[^\s@"'`]+@))
+  | (?P<upass>(?<=:)(?<!//)[^\s@"'`/]++(?=@[\w.\[%{$-]))
   | (?P<ref>\$\{[^}\n]*\} | \$\([^)\n]*\) | \$\w+ | <[^<>\n]{1,60}> | %\(\w+\)s | \{\{[^}\n]*\}\})
-  | (?P<flag>--[A-Za-z][\w-]*=)
-  | (?P<name>[A-Za-z_][\w.-]*(?=["']?[ \t]*(?::[ ]?\w+(?:\[\])?[ \t]*=|:=|[:=])(?![=/])[ \t]*(?:["'`(\[{\s]|$)) | (?<![^\s\#/,(])[A-Za-z_]\w*(?=[:=][^\s/:=]))
+  | (?P<flag>--[A-Za-z][\w-]*+=)
+  | (?P<name>[A-Za-z_][\w.-]*+(?=["']?[ \t]*(?::[ ]?\w+(?:\[\])?[ \t]*=|:=|[:=])(?![=/])[ \t]*(?:["'`(\[{\s]|$)) | (?<![^\s\#/,(])[A-Za-z_]\w*+(?=[:=][^\s/:=]))
   | (?P<q>\"\"\"|'''|["'`])
   | (?P<atom>(?:(?<=["'\s])[,=:](?=[^\s,=:"'`]{5}))?[^\s"'`;(){}\[\]\\:=,<>][^\s"'`;(){}\[\]\\<>]*)
   | (?P<p>\S)
@@ -47,35 +50,6 @@ TOKEN = re.compile(
     re.X,
 )
 
-#: Words near credentials, sought in lower, upper and capitalised form (fixed values).
-HINT_WORDS = ("pass", "pwd", "secret", "token", "key", "auth", "cred", "login", "signer", "bearer", "identified")
-HINTS = tuple(f(w) for w in HINT_WORDS for f in (str.lower, str.upper, str.capitalize)) + ("_pw", "_PW", " pw", "Pw", "-----BEGIN")
-#: What tells by itself, sought by its first characters and then matched (fixed values).
-KNOWN = re.compile(r"(?<![\w/+-])(?:AKIA[0-9A-Z]{8}|eyJ[\w-]{8}|(?:gh[a-z]|sk|pk|xox[a-z]|glpat|pat|tok|npm|nvk|AIza|SG)[_.-][\w.-]{8})")
-KNOWN_HEADS = ("AKIA", "eyJ", "gh", "sk_", "sk-", "pk_", "xox", "glpat", "pat.", "pat_", "pat-", "tok_", "tok-", "npm_", "nvk", "AIza", "SG.")
-URL_HINT = re.compile(r"""://(?:[^\s/"'`]*@|[^"'`\s]*["'`]\s*,\s*["'`])""")
-
-
-def _hints(text: str) -> list[int]:
-    """Offsets of everything that could stand on a line with a credential, in order."""
-    out = []
-    for w in HINTS:
-        at = text.find(w)
-        while at >= 0:
-            if w[:4].lower() != "auth" or text[at + 4 : at + 6].lower() != "or" or text[at + 6 : at + 7].lower() == "i":
-                out.append(at)
-            at = text.find(w, at + 1)
-    for heads, rx in ((KNOWN_HEADS, KNOWN), (("://",), URL_HINT)):
-        for w in heads:
-            at = text.find(w)
-            while at >= 0:
-                if rx.match(text, at):
-                    out.append(at)
-                at = text.find(w, at + 1)
-    out.sort()
-    return out
-
-
 SECRET_NOUNS = {"password", "passwd", "pwd", "pass", "pw", "passphrase", "secret", "apikey", "credential", "credentials", "passcode"}
 SECRET_PAIRS = {"key", "token"}
 KEY_OWNERS = {"api", "access", "auth", "private", "refresh", "session", "service", "encryption", "signing", "deploy", "tls", "ssh", "secret", "master", "admin", "client", "webhook", "bearer", "hmac", "account", "license", "storage"}
@@ -112,6 +86,37 @@ def name_class(name: str) -> str:
     return "other"
 
 
+class _Kinds(dict):
+    """Kind of each character, by its number."""
+
+    def __missing__(self, n: int) -> str:
+        c = chr(n)
+        self[n] = "u" if c.isupper() else "l" if c.islower() else "d" if c.isdigit() else "-" if c in "-_." else "/" if c == "/" else "s"
+        return self[n]
+
+
+_KIND = _Kinds()
+_PLACEHOLDER = re.compile(r"x{3,}|\*{2,}|\.{2,}|-+|_+|0+|(?:your|my|the|insert|enter|some)[-_]?[a-z_-]*")
+_MASKED = re.compile(r"[*xX.•#-]{3,}")
+_UPPER = re.compile(r"[A-Z][A-Z_]*")
+_LOW = re.compile(r"(?:[a-z]+[_.-])*[a-z]+")
+_CAMEL = re.compile(r"[a-z]+(?:[A-Z][a-z]+)+|(?:[A-Z][a-z]+)+")
+_NUM = re.compile(r"(?:[A-Za-z]+[_-])+\d{1,3}")
+_REFERENCE = re.compile(r"(?:env|vault|file|ref|secret|ssm|arn|kms|op)[:/]")
+_PATHLIKE = re.compile(r"(?:[\w.-]+/)+[\w.-]*")
+_MIXED = re.compile(r"\d[A-Za-z]|[a-z][A-Z][a-z]?[A-Z]")
+_HOST = re.compile(r"[\w-]+(?:\.[\w-]+)+(?::\d+)?(?:/\S*)?")
+_HOST_CHARS = re.compile(r"[a-z\d.:/_-]+")
+_HEX = re.compile(r"[0-9a-f]+")
+_UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
+_DIGEST = re.compile(r"sha\d+[-:]|md5[-:]")
+_KNOWN = re.compile(r"AKIA[0-9A-Z]{12,}|eyJ[\w-]+\.[\w-]+|(?:gh[a-z]|sk|pk|xox[a-z]|glpat|pat|tok|npm|nvk|AIza|SG)[_.-][\w.-]{12,}")
+_B64 = re.compile(r"[A-Za-z0-9+/=]{20,}")
+_WORDS_DIGITS = re.compile(r"[A-Za-z][a-z0-9]+[^A-Za-z0-9\s][A-Z][a-z0-9]+\d{2,}[^A-Za-z0-9\s]?")
+_VERSION = re.compile(r"v?\d+(?:\.\d+)+")
+_NUMBER = re.compile(r"[-+]?\d[\d.]*%?")
+
+
 @lru_cache(maxsize=300_000)
 def shape(token: str) -> tuple[str, ...]:
     """Shape features of a token: length, kinds of characters, how often they change, known forms."""
@@ -119,52 +124,72 @@ def shape(token: str) -> tuple[str, ...]:
     f = [f"len{min(n, 40) // 4}" if n < 40 else ("len10" if n < 60 else "len15")]
     low = token.lower()
     bare = low.strip("<>[]().,!?*\"'")
-    kinds = "".join("u" if c.isupper() else "l" if c.islower() else "d" if c.isdigit() else "-" if c in "-_." else "/" if c == "/" else "s" for c in token)
+    kinds = token.translate(_KIND)
     have = "".join(sorted(set(kinds)))
     f.append("set:" + have)
-    changes = sum(1 for a, b in zip(kinds, kinds[1:], strict=False) if a != b)
+    changes = sum(map(ne, kinds, kinds[1:]))
     if n:
         f.append(f"chg{min(9, int(10 * changes / n))}")
     if n >= 6:
-        e = -sum(v / n * math.log2(v / n) for v in Counter(token).values())
+        e = -sum([v / n * math.log2(v / n) for v in map(token.count, dict.fromkeys(token))])
         f.append(f"ent{int(e * 2)}")
-    if bare in PLACEHOLDERS or re.fullmatch(r"x{3,}|\*{2,}|\.{2,}|-+|_+|0+|(?:your|my|the|insert|enter|some)[-_]?[a-z_-]*", bare) or re.fullmatch(r"[*xX.•#-]{3,}", token):
+    if bare in PLACEHOLDERS or _PLACEHOLDER.fullmatch(bare) or _MASKED.fullmatch(token):
         f.append("placeholder")
-    if re.fullmatch(r"[A-Z][A-Z_]*", token):
+    if _UPPER.fullmatch(token):
         f.append("upper")
-    if re.fullmatch(r"(?:[a-z]+[_.-])*[a-z]+", token):
+    if _LOW.fullmatch(token):
         f.append("ident-low")
-    elif re.fullmatch(r"[a-z]+(?:[A-Z][a-z]+)+|(?:[A-Z][a-z]+)+", token):
+    elif _CAMEL.fullmatch(token):
         f.append("ident-camel")
-    elif re.fullmatch(r"(?:[A-Za-z]+[_-])+\d{1,3}", token):
+    elif _NUM.fullmatch(token):
         f.append("ident-num")
-    if re.match(r"(?:env|vault|file|ref|secret|ssm|arn|kms|op)[:/]", low) or re.fullmatch(r"(?:[\w.-]+/)+[\w.-]*", token) and n < 60 and changes < n / 2 and not re.search(r"\d[A-Za-z]|[a-z][A-Z][a-z]?[A-Z]", token):
+    if _REFERENCE.match(low) or _PATHLIKE.fullmatch(token) and n < 60 and changes < n / 2 and not _MIXED.search(token):
         f.append("path")
-    if re.fullmatch(r"[\w-]+(?:\.[\w-]+)+(?::\d+)?(?:/\S*)?", token) and re.fullmatch(r"[a-z\d.:/_-]+", token):
+    if _HOST.fullmatch(token) and _HOST_CHARS.fullmatch(token):
         f.append("host")
-    if re.fullmatch(r"[0-9a-f]+", token):
+    if _HEX.fullmatch(token):
         f.append("hex" if n in (32, 40, 64) else "hex-other")
-    if re.fullmatch(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", token):
+    if _UUID.fullmatch(token):
         f.append("uuid")
-    if re.match(r"sha\d+[-:]|md5[-:]", low):
+    if _DIGEST.match(low):
         f.append("digest")
-    if re.match(r"AKIA[0-9A-Z]{12,}|eyJ[\w-]+\.[\w-]+|(?:gh[a-z]|sk|pk|xox[a-z]|glpat|pat|tok|npm|nvk|AIza|SG)[_.-][\w.-]{12,}", token):
+    if _KNOWN.match(token):
         f.append("known")
-    if re.fullmatch(r"[A-Za-z0-9+/=]{20,}", token):
+    if _B64.fullmatch(token):
         f.append("b64")
         if n >= 60:
             f.append("b64-line")
-    if re.fullmatch(r"[A-Za-z][a-z0-9]+[^A-Za-z0-9\s][A-Z][a-z0-9]+\d{2,}[^A-Za-z0-9\s]?", token):
+    if _WORDS_DIGITS.fullmatch(token):
         f.append("words+digits")
-    if re.fullmatch(r"v?\d+(?:\.\d+)+", token):
+    if _VERSION.fullmatch(token):
         f.append("version")
     if low.startswith(("base64,", "data:")):
         f.append("data-uri")
-    if re.fullmatch(r"[-+]?\d[\d.]*%?", token):
+    if _NUMBER.fullmatch(token):
         f.append("number")
     return tuple(f)
 
 
+#: Kinds of tokens that can be a value.
+VALUED = ("atom", "upass", "user", "name", "ref")
+
+
+@lru_cache(maxsize=300_000)
+def said(kind: str, token: str) -> tuple[str | None, tuple[str, ...]]:
+    """What a token says of those behind it: its class as a name, and its words among ``CUES``."""
+    return name_class(token) if kind != "atom" else None, tuple(w for w in words_of(token)[-2:] if w in CUES)
+
+
+def own_features(kind: str, token: str) -> tuple[str, tuple[str, ...] | str]:
+    """What a token's features depend on, its context aside."""
+    return (kind, shape(token)) if kind in VALUED else (kind, token if kind in ("p", "q") else "")
+
+
+#: Names and words around most tokens, and how many tokens and lines a process keeps in mind.
+USUAL = ({"none", "other", "plain"}, {"for", "from"})
+MEMORY = 200_000
+
+
 class Tokens:
     """Tokens of one window with their kinds and places."""
 
@@ -204,7 +229,7 @@ def features(t: Tokens) -> list[list[str]]:
         f.append("q1" if quoted else "q0")
         if in_key:
             f.append("in-key")
-        if k in ("atom", "upass", "user", "name", "ref"):
+        if k in VALUED:
             s = shape(x)
             near = last_name if name_dist <= 12 else "none"
             f += s
@@ -262,6 +287,18 @@ def features(t: Tokens) -> list[list[str]]:
 # ------------------------------------------------------------------ the field
 
 
+class _Usual(dict):
+    """``Field.first`` of each token met."""
+
+    def __init__(self, field: Field, quoted: bool, marked: bool):
+        super().__init__()
+        self.field, self.where = field, (quoted, marked)
+
+    def __missing__(self, f: tuple[str, str]) -> float:
+        self[f] = x = self.field.first(*f, *self.where)
+        return x
+
+
 class Field:
     """A linear-chain conditional random field with two labels: other (0) and credential (1)."""
 
@@ -269,6 +306,15 @@ class Field:
         self.index, self.weights, self.trans = index, weights, trans
         self._w = [tuple(row) for row in weights.tolist()]
         self._t = trans.tolist()
+        kinds = ["^", "$", *TOKEN.groupindex]
+        self._before, self._after = ({k: self.lead(f"{w}:{k}") for k in kinds} for w in ("pk", "nk"))
+        self._leads: dict[tuple, dict[tuple, float]] = {}
+        self._usual = {(q, m): _Usual(self, q, m) for q in (False, True) for m in (False, True)}
+        # at or below this no token gains by label 1, whatever stands beside it, as long as transitions only cost
+        costs = max(trans[0, 1], trans[1, 0], trans[1, 1]) <= trans[0, 0]
+        self._never = -max(self._before.values()) - max(self._after.values()) - 1e-6 if costs else -math.inf
+        #: Lines that hold nothing.
+        self.bare: set[str] = set()
 
     def viterbi(self, feats: list[list[str]]) -> list[int]:
         """The most probable labels."""
@@ -299,6 +345,100 @@ class Field:
             out.append(lab)
         return out[::-1]
 
+    def possible(self, t: list[tuple[str, str]]) -> bool:
+        """False only if Viterbi is sure to label nothing of these kinds and texts of tokens.
+
+        No run of tokens can outweigh its transitions then, each token counted with the largest lead
+        of label 1 that any context gives it: first any of ``USUAL``, then those of which the window
+        holds the names and words.
+        """
+        kinds = [k for k, _ in t]
+        quoted, marked = "q" in kinds, any(x[:1] in "#*" or x[:2] in ("//", "--") for _, x in t)
+        usual = self._usual[quoted, marked]
+        if len(usual) > MEMORY:
+            usual.clear()
+        most = max(map(usual.__getitem__, t), default=-math.inf)
+        if most <= self._never:
+            return False
+        if most < math.inf and not self._outweighs(kinds, [usual[f] for f in t]):
+            return False
+        if "begin" in kinds:
+            return True
+        near, cues = {"none"}, set()
+        for k, x in t:
+            if k in ("atom", "name", "flag"):
+                c, w = said(k, x)
+                if c:
+                    near.add(c)
+                cues.update(w)
+        place = ("url" in kinds, quoted, marked)
+        lead = self._leads.setdefault((frozenset(near), frozenset(cues), place), {})
+        leads = []
+        for k, x in t:
+            f = own_features(k, x)
+            d = lead.get(f)
+            if d is None:
+                d = lead[f] = self._lead(near, cues, place, *f)
+            leads.append(d)
+        return self._outweighs(kinds, leads)
+
+    def first(self, kind: str, token: str, quoted: bool, marked: bool) -> float:
+        """The largest lead of a token in usual contexts; infinite if the token makes the context another."""
+        c, w = said(kind, token) if kind in ("atom", "name", "flag") else (None, ())
+        if kind in ("begin", "url") or c is not None and c not in USUAL[0] or not USUAL[1].issuperset(w):
+            return math.inf
+        lead = self._leads.setdefault((quoted, marked), {})
+        f = own_features(kind, token)
+        if f not in lead:
+            lead[f] = self._lead(*USUAL, (False, quoted, marked), *f)
+        return lead[f]
+
+    def _outweighs(self, kinds: list[str], leads: list[float]) -> bool:
+        """Whether a run of tokens can lead by more than the transitions into and out of it cost."""
+        (t00, t01), (t10, t11) = self._t
+        start, stay, stop = t01 - t00, t11 - t00, t10 - t00
+        before, after = self._before, self._after
+        run, enter, prev = 0.0, 0.0, "^"
+        for k, nxt, d in zip(kinds, [*kinds[1:], "$"], leads, strict=True):
+            run = d + before[prev] + after[nxt] + (run + stay if run + stay > enter else enter)
+            if run > (1e-6 - stop if nxt != "$" else -1e-6) - 2e-6:
+                return True
+            enter, prev = start, k
+        return False
+
+    def _lead(self, near: set[str], cues: set[str], place: tuple[bool, bool, bool], kind: str, own: tuple[str, ...] | str) -> float:
+        """The largest lead of label 1 over label 0 for a token, without the kinds of its neighbours.
+
+        ``place``: whether the window has a URL, quotes, a mark that may begin a comment.
+        """
+        d = self.lead
+        url, quoted, marked = place
+        out = d("k:" + kind) + (max(d("q0"), d("q1")) if quoted else d("q0"))
+        if kind == "end":
+            return out + max(d("private"), d("public"))
+        if kind in ("p", "q"):
+            return out + d("x:" + own)
+        if kind not in VALUED:
+            return out
+        steady = [y for y in own if not y.startswith(("len", "chg", "ent"))]
+        best = -math.inf
+        for c in near:
+            by_near = d(f"near:{c}") + sum(d(f"{c}|{y}") for y in own if y.startswith(("chg", "len")))
+            if quoted:
+                by_near += max(0.0, d("literal-line") + sum(d(f"literal-line|{c}|{y}") for y in own if y.startswith(("b64", "hex", "len"))))
+            for p in ("upass",) if kind == "upass" else ("alone", "bare", "part") if quoted else ("bare",):
+                by_place = d("place:" + p) + sum(d(f"{p}|{c}|{y}") for y in steady)
+                if url:
+                    by_place += max(0.0, d("url-before") + sum(d(f"url|{p}|{y}") for y in own if not y.startswith("len")))
+                best = max(best, by_near + by_place)
+        by_cue = max(d("cue:" + c) + sum(d(f"cue:{c}|{y}") for y in own if not y.startswith(("len", "ent"))) + (max(0.0, d("comment") + sum(d(f"comment|{c}|{y}") for y in own if y.startswith(("set", "chg", "placeholder", "ident")))) if marked else 0.0) for c in ("none", *cues))
+        return out + sum(map(d, own)) + best + by_cue + max(d("pw:" + w) for w in ("-", *cues))
+
+    def lead(self, feature: str) -> float:
+        """What a feature adds to label 1 over label 0."""
+        j = self.index.get(feature)
+        return self._w[j][1] - self._w[j][0] if j is not None else 0.0
+
     @classmethod
     def fit(cls, sequences: list[tuple[list[list[str]], list[int]]], epochs: int = EPOCHS, rate: float = 0.3, l2: float = 1e-5, min_count: int = 2, seed: int = SEED) -> Field:
         """Maximises the conditional log-likelihood by AdaGrad over batches, with exact forward-backward sums."""
@@ -451,6 +591,32 @@ class Maker:
         b64 = string.ascii_letters + string.digits + "+/"
         return [f"-----BEGIN {what}-----"] + [indent + self.chars(b64, 64, 64) for _ in range(lines)] + [indent + f"-----END {what}-----"]
 
+    def neutral(self) -> str:
+        """Lines without a word that tells: random values under any name, and the data and code around them."""
+        r, an = self.r, string.ascii_letters + string.digits
+        pick = r.randrange(8)
+        camel = lambda: self.noun() + self.noun().capitalize() + self.noun().capitalize()
+        value = "\x01" + self.chars(an, 18, 60) + "\x02"
+        if pick < 2:
+            return self.assign(self.name(), value)
+        if pick == 2:
+            return r.choice([f'{self.name()}("{value}")', f'{self.name()}({self.name()}, "{value}");', f'{self.name()}("{self.noun()}", "{value}")', f'{self.name()}.{self.name()}("{value}", {r.randint(1, 999)});', f"return '{value}'"])
+        if pick == 3:
+            row = r.choice([lambda: f"0x{r.randrange(256):02x}", lambda: f"0x{r.randrange(256):02X}", lambda: str(r.randrange(256)), lambda: f"{r.random():.4f}", lambda: f"0x{r.randrange(2**32):08x}", lambda: f'"{self.noun()}"'])
+            return "    " + ", ".join(row() for _ in range(r.randint(6, 16))) + ","
+        if pick == 4:
+            css = lambda: f".{self.noun()[:3]}{r.randint(1, 99)}{r.choice(['', '>a', '>b'])}{{margin:{r.randint(1, 40)}px;color:#{r.randrange(2**24):06x};width:{r.randint(1, 999)}px}}"
+            js = lambda: f"function {self.noun()[:2]}{r.randint(1, 999)}(v,u){{return v.{camel()}(u,{r.randint(1, 999)})}}var {self.noun()[:2]}{r.randint(1, 999)}=d=>q[{r.randint(1, 999)}]||v.{camel()};{self.noun()[:2]}{r.randint(1, 99)}.{camel()}({r.randint(1, 9)});for(var r=0;r<{r.randint(1, 99)};r++)"
+            one = r.choice([css, js])
+            return "".join(one() for _ in range(r.randint(2, 6)))
+        if pick == 5:
+            q = r.choice("\"'")
+            return r.choice([f"const {camel()} = {camel()}.replace(/[(\"']{camel()}/g, {camel()});", f"{self.name()}.add({self.name()}.{self.name()}());", f"{self.name()}.{self.name()}({camel()}.{camel()}, {q}{self.noun()}{q});", f"if ({camel()}.{camel()}({camel()}) > {r.randint(1, 999)}) {{", f"import {self.noun()}.{self.noun()}.{camel().capitalize()};", f"{self.name()}[{q}{self.name()}{q}] = {self.name()} + {r.randint(1, 99)}", f"re.compile(r{q}[A-Za-z0-9_]+({self.noun()}|\\d{{2,4}}){q})", f"{self.name()} = {self.name()}({self.name()}={r.randint(1, 9999)})"])
+        if pick == 6:
+            mark = r.choice(["//", "#", "--", "*"])
+            return r.choice([f"{mark} Code generated by {self.noun()}{self.noun()} v{r.randint(1, 9)}.{r.randint(0, 30)}. DO NOT EDIT.", f"{mark} {self.noun().capitalize()} {self.noun()} of {self.noun()} {r.randint(1, 99)} ({self.name()}).", f"{mark} see https://{self.noun()}.example/{self.noun()}/{r.randint(1, 9999)}#L{r.randint(1, 99)}", f"{mark} TODO({self.noun()}): {self.sentence()}", f"/** {self.sentence()} */"])
+        return self.assign(self.name(), r.choice([self.plain(), self.plain(), "-".join(self.chars("0123456789abcdef", n, n) for n in (8, 4, 4, 4, 12)), self.chars("0123456789abcdef", 8, 16), camel(), f"{r.randint(2001, 2030)}-{r.randint(1, 12):02d}-{r.randint(1, 28):02d}T{r.randint(0, 23):02d}:00:00Z", string.ascii_letters + string.digits, string.ascii_uppercase + string.digits, f"{self.noun()}/{self.noun()}@{r.randint(1, 9)}.{r.randint(0, 30)}.{r.randint(0, 9)}"]))
+
     def line(self) -> str:
         r = self.r
         s = lambda: "\x01" + self.secret() + "\x02"
@@ -525,8 +691,8 @@ class Maker:
             return r.choice([f"{self.name()}.{self.name()}({self.name()}, {r.randint(1, 9999)});", f"for (const {self.name()} of {self.name()}.{self.name(['token', self.noun()])}) {{", f"const {self.name(['token', self.noun()])} = {{ {self.name()}: {self.name()}, {self.name()}: {r.randint(1, 9999)} }};", f'{self.name()} = {{"{self.name(["token", self.noun()])}": {self.name()}, "{self.name()}": {r.randint(1, 9999)}}}', f"def {self.name(['token', self.noun()])}({self.name()}, {self.name()}: str) -> int:", f"func {self.name()}({self.name()} int, {self.name(['key', self.noun()])} string) error {{", f"{self.name()}(`{self.noun()}/${{{self.name()}}}/{r.randint(1, 9999)}`);", f"import {{ {self.name()}, {self.name()} }} from \"./{self.name()}\";"])
         return r.choice([f'{self.name()} = {{"{self.secret_name()}": "{s()}", "{self.name()}": {r.randint(1, 99)}}}', f"secret: vault/{self.name()}", f'{self.name(["user"])} = "{self.name()}"', f"user: {self.name()}", f"{mark} {self.noun()}-ui v{r.randint(1, 9)}.{r.randint(0, 30)}.{r.randint(0, 9)} | (c) the {self.noun()} authors | MIT license", f"{mark} Copyright {r.randint(2001, 2025)} the {self.noun()} authors", f'const {self.name()} = "data:image/png;base64,{self.chars(string.ascii_letters + string.digits + "+/", 60, 400)}";', f'"""{self.r.choice([self.noun().capitalize() + ".", "Docs.", "tbd", "TODO", "n/a", self.sentence() + "."])}', f'def {self.name(["token", self.noun()])}():\n    """{self.noun().capitalize()}.\n    """', f'log.info("{self.sentence()}", {self.name()}, {self.name()})'])
 
-    def sequence(self):
-        raw = self.line()
+    def sequence(self, neutral: bool = False):
+        raw = self.neutral() if neutral else self.line()
         text, spans, at = [], [], 0
         for part in re.split(r"([\x01\x02])", raw):
             if part == "\x01":
@@ -545,43 +711,44 @@ class Maker:
 def trained(samples: int = SAMPLES, epochs: int = EPOCHS, seed: int = SEED) -> Field:
     """The field with its weights; trained once per process."""
     make = Maker(seed)
-    return Field.fit([make.sequence() for _ in range(samples)], epochs)
+    sequences = [make.sequence() for _ in range(samples)]
+    return Field.fit(sequences + [make.sequence(neutral=True) for _ in range(samples // 6)], epochs)
 
 
 # ------------------------------------------------------------------ operator
 
 
+#: A line whose value starts on the next one, and a line that continues it.
+CONTINUED = re.compile(r"""[=(\\+]\s*\(?\s*$|^\s*["']?[\w.-]+["']?\s*:\s*$""")
+CONTINUES = re.compile(r"""\s*[+.]?\s*["'`]""")
+
+
 def windows(text: str) -> list[tuple[int, int]]:
-    """Spans of whole lines to label: lines with a hint, with the lines that continue them."""
-    out: list[list[int]] = []
-    done = -1
-    n = len(text)
-    for at in _hints(text):
-        if at < done:
-            continue
-        a = text.rfind("\n", 0, at) + 1
-        b = text.find("\n", at)
+    """Spans of whole lines to label, which hold every line of the text: each with the lines that continue it."""
+    out: list[tuple[int, int]] = []
+    b, n = -1, len(text)
+    while b < n:
+        a = b + 1
+        b = text.find("\n", a)
         b = n if b < 0 else b
         line = text[a:b]
+        if not line or line.isspace():
+            continue
         if "-----BEGIN" in line and "-----END" not in line:
             end = text.find("-----END", b)
             if end >= 0 and "-----BEGIN" not in text[b:end]:
                 b = text.find("\n", end)
                 b = n if b < 0 else b
-        elif re.search(r"""[=(\\+]\s*\(?\s*$|^\s*["']?[\w.-]+["']?\s*:\s*$""", line):
+        elif line.rstrip()[-1] in "=(\\+:" and CONTINUED.search(line):
             # a value that starts on the next line, in literals one below the other
             while b < n:
                 e = text.find("\n", b + 1)
                 e = n if e < 0 else e
-                if not re.match(r"""\s*[+.]?\s*["'`]""", text[b + 1 : e]):
+                if not CONTINUES.match(text, b + 1, e):
                     break
                 b = e
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-        done = b
-    return [(a, b) for a, b in out]
+        out.append((a, b))
+    return out
 
 
 def find(text: str | None, field: Field) -> list[tuple[int, int]]:
@@ -590,6 +757,17 @@ def find(text: str | None, field: Field) -> list[tuple[int, int]]:
         return []
     out: list[tuple[int, int]] = []
     for lo, hi in windows(text):
+        line = text[lo:hi]
+        lo += len(line) - len(line.lstrip())
+        line = line.strip() if lo else ""  # the first token may depend on the character before it
+        if line in field.bare:
+            continue
+        if not field.possible([(m.lastgroup, m.group()) for m in TOKEN.finditer(text, lo, hi)]):
+            if len(field.bare) > MEMORY:
+                field.bare.clear()
+            if line:
+                field.bare.add(line)
+            continue
         t = Tokens(text, lo, hi)
         labels = field.viterbi(features(t))
         for i, lab in enumerate(labels):

@@ -131,6 +131,22 @@ def test_lines_with_and_without(field):
     assert [t for t in NO if credentials.find(t, field)] == []
 
 
+def test_credentials_under_neutral_names(field):
+    found = ['clean_review_needle = "JbmXhVGbBmkbq5w6OG0aFnZ8kLQyaJHv"', 'snippet_probe_expire := "1vyujTpzuJKwNf1DBx2KK93ugkvd6lyL"', 'open_harbor(crew_lane, "LK9iyVtSVl5mRAeqPCE4FAkGVL2KSDdb");']
+    assert [t for t in found if not credentials.find(t, field)] == []
+    plain = ["    0x61, 0xe1, 0x91, 0xec, 0x33, 0x82, 0xca, 0xdc,", "# Code generated by stubforge v1.9. DO NOT EDIT.", "saveRawCrew.add(sweepEarlyCarrier.slotStockResolve());"]
+    assert [t for t in plain if credentials.find(t, field)] == []
+
+
+def test_the_bound_changes_no_label(field):
+    make = credentials.Maker(99)
+    for _ in range(1500):
+        text = (make.line() + make.neutral()).replace("\x01", "").replace("\x02", "")
+        t = credentials.Tokens(text, 0, len(text))
+        kept = field.possible(list(zip(t.kind, t.text, strict=True)))
+        assert kept or not any(field.viterbi(credentials.features(t)))
+
+
 def test_held_out_sequences(field):
     make = credentials.Maker(4711)
     hit = false = missed = 0

@@ -34,8 +34,10 @@ BANDS, ROWS = 40, 3
 MATCHES = 2
 #: Nodes of a bucket that are paired up directly; larger buckets take the exact prefix join.
 BUCKET_LIMIT = 64
-#: Classes of copies up to this size are written out pair by pair; larger ones as links to their smallest id.
+#: Groups of equal texts up to this size are written out pair by pair; larger ones as links to their smallest id.
 EXPAND = 64
+#: Rows of a class that one task pairs up with as many; larger classes are split into blocks of this size.
+BLOCK = 1024
 
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -138,13 +140,13 @@ def _list_array(flat: np.ndarray, sizes: np.ndarray, kind: pa.DataType) -> pa.Ar
 
 
 def signatures(df: DataFrame, id_col: str, text_col: str, words: int, bands: int, rows: int, weighted: bool) -> DataFrame:
-    """``(id, cls, n, keys)``: class (hash of the shingle set), set size, and band keys.
+    """``(id, cls, n, content, keys)``: class (hash of the shingle set), set size, hash of the text, and band keys.
 
     The keys of a class come out once per task; its other rows have null keys. Texts without a
     shingle are left out: they are similar to nothing.
     """
     src = spread(df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("t")))
-    schema = "id bigint, cls bigint, n int, keys array<bigint>"
+    schema = "id bigint, cls bigint, n int, content bigint, keys array<bigint>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, seen = WordHash(), set()
@@ -173,7 +175,8 @@ def signatures(df: DataFrame, id_col: str, text_col: str, words: int, bands: int
                 keys = band_keys(sig, bands, rows).view(np.int64).reshape(-1)
                 sizes = np.where(fresh[have], bands, 0)
                 lists = _list_array(keys, sizes, pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(have)), pa.array(cls), pa.array(n[have].astype(np.int32)), lists], names=["id", "cls", "n", "keys"])
+                content = np.array([xxhash.xxh3_64_intdigest(texts[k].encode("utf-8", "surrogatepass")) for k in have.tolist()], dtype=np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(have)), pa.array(cls), pa.array(n[have].astype(np.int32)), pa.array(content), lists], names=["id", "cls", "n", "content", "keys"])
 
     return src.mapInArrow(run, schema)
 
@@ -331,7 +334,7 @@ def near_duplicate_classes(
     bucket_limit: int = BUCKET_LIMIT,
     matches: int = MATCHES,
 ) -> tuple[DataFrame, DataFrame]:
-    """``members (id, cls, n)`` and ``links (a, b, similarity)`` between different classes.
+    """``members (id, cls, n, content)`` and ``links (a, b, similarity)`` between different classes.
 
     A class holds the rows of equal shingle sets. ``links`` has each pair of classes of at least
     the given similarity once, with ``a < b``; similarity is exact. Rows without a shingle (null,
@@ -339,7 +342,7 @@ def near_duplicate_classes(
     empty frames.
     """
     sig = cut_lineage(signatures(df, id_col, text_col, words, bands, rows, weighted))
-    members = sig.select("id", "cls", "n")
+    members = sig.select("id", "cls", "n", "content")
     keyed = sig.where(F.size("keys") > 0).select(F.explode("keys").alias("key"), "cls", "n")
     low = similarity if not weighted else similarity / 4
     met = cut_lineage(_meetings(keyed, low, bucket_limit))
@@ -374,27 +377,43 @@ def near_duplicate_classes(
     return members, links
 
 
-def near_duplicate_pairs(members: DataFrame, links: DataFrame, expand: int = EXPAND) -> DataFrame:
+def near_duplicate_pairs(members: DataFrame, links: DataFrame, expand: int | None = EXPAND, block: int = BLOCK) -> DataFrame:
     """``(id_a, id_b, similarity)`` of rows, with ``id_a < id_b``.
 
-    Classes of up to ``expand`` copies are written out in full, within the class and across
-    links. A larger class is written as links of its members to its smallest id, and its links
-    to other classes hang on that id; nothing between different texts is lost.
+    All pairs of different texts are written out, within a class and across links, whatever the
+    size of the class. Equal texts are, too, in groups of up to ``expand`` rows (of any size if it
+    is None); a larger group is written as links of its members to its smallest id. Classes above
+    ``block`` rows are paired up block by block.
     """
-    m = members.select("id", "cls").distinct()
-    sizes = m.groupBy("cls").agg(F.count("*").alias("c"), F.min("id").alias("rep"))
-    many = m.join(sizes.where("c > 1"), "cls")
-    small = many.where(F.col("c") <= expand)
-    x = small.select("cls", F.col("id").alias("id_a"))
-    within = x.join(small.select("cls", F.col("id").alias("id_b")), "cls").where("id_a < id_b").select("id_a", "id_b", F.lit(1.0).alias("similarity"))
-    star = many.where((F.col("c") > expand) & (F.col("id") > F.col("rep"))).select(F.col("rep").alias("id_a"), F.col("id").alias("id_b"), F.lit(1.0).alias("similarity"))
-    ends = m.join(sizes, "cls").where((F.col("c") <= expand) | (F.col("id") == F.col("rep"))).select("cls", "id")
+    m = members.groupBy("id", "cls").agg(F.min("content").alias("content"))
+    sizes = m.groupBy("cls").agg(F.count("*").alias("c")).withColumn("blocks", F.ceil(F.col("c") / block).cast("int"))
+    many = m.join(sizes.where("c > 1"), "cls").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    texts = many.groupBy("cls", "content").agg(F.count("*").alias("copies"), F.min("id").alias("rep"))
+    if expand is not None:
+        large = texts.where(F.col("copies") > expand)
+        many = many.join(large.select("cls", "content", F.lit(True).alias("large")), ["cls", "content"], "left")
+    else:
+        many = many.withColumn("large", F.lit(None).cast("boolean"))
+    # each row meets its own block and those of higher number
+    x = many.select("cls", F.col("id").alias("ix"), F.col("content").alias("cx"), "large", F.col("block").alias("bx"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("by"))
+    y = many.select("cls", F.col("id").alias("iy"), F.col("content").alias("cy"), F.col("block").alias("y"), F.explode(F.sequence(F.lit(0), F.col("block"))).alias("bx")).withColumnRenamed("y", "by")
+    met = x.join(y, ["cls", "bx", "by"]).where("(bx < by or ix < iy) and (large is null or cx <> cy)")
+    within = met.select(F.least("ix", "iy").alias("id_a"), F.greatest("ix", "iy").alias("id_b"), F.lit(1.0).alias("similarity"))
+    if expand is not None:
+        star = m.join(large.select("cls", "content", "rep"), ["cls", "content"]).where("id > rep")
+        within = within.union(star.select(F.col("rep").alias("id_a"), F.col("id").alias("id_b"), F.lit(1.0).alias("similarity")))
+    ends = m.join(sizes, "cls").select("cls", "id", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
+    blocks = sizes.select("cls", "blocks")
     across = (
-        links.join(ends.select(F.col("cls").alias("a"), F.col("id").alias("ia")), "a")
-        .join(ends.select(F.col("cls").alias("b"), F.col("id").alias("ib")), "b")
+        links.join(blocks.select(F.col("cls").alias("a"), F.col("blocks").alias("na")), "a")
+        .join(blocks.select(F.col("cls").alias("b"), F.col("blocks").alias("nb")), "b")
+        .select("a", "b", "similarity", F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("ba"), "nb")
+        .select("a", "b", "similarity", "ba", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("bb"))
+        .join(ends.select(F.col("cls").alias("a"), F.col("block").alias("ba"), F.col("id").alias("ia")), ["a", "ba"])
+        .join(ends.select(F.col("cls").alias("b"), F.col("block").alias("bb"), F.col("id").alias("ib")), ["b", "bb"])
         .select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b"), "similarity")
     )
-    return within.union(star).union(across)
+    return within.union(across)
 
 
 def components(links: DataFrame, max_rounds: int = 50) -> DataFrame:

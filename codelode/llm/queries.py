@@ -84,7 +84,7 @@ def p4_pairs(spark: SparkSession, d: str) -> DataFrame:
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of similar chunks."""
     members, links = neardup.near_duplicate_classes(table(spark, d, "code_chunks"), **P5)
-    return neardup.near_duplicate_pairs(members, links).select("id_a", "id_b")
+    return neardup.near_duplicate_pairs(members, links, expand=None).select("id_a", "id_b")
 
 
 def p5_groups(spark: SparkSession, d: str) -> DataFrame:

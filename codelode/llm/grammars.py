@@ -68,18 +68,18 @@ class Language:
         kinds = self.kinds[dialect]
         return [j for j, k in enumerate(map(kinds.__getitem__, lexemes)) if k >= 0]
 
-    def accepts(self, text: str) -> bool:
-        """True if any dialect accepts the text; a text without tokens is valid."""
+    def accepting(self, text: str) -> int | None:
+        """Number of the first dialect that accepts the text, None if there is none; a text without tokens is valid."""
         lexemes = self.lexemes(text)
         for d, g in enumerate(self.dialects):
             toks, _ = self.tokens(lexemes, d)
-            if len(toks) == 1:
-                return True
-            if ERROR in toks:
-                continue
-            if g.parse(toks)[0]:
-                return True
-        return False
+            if len(toks) == 1 or ERROR not in toks and g.parse(toks)[0]:
+                return d
+        return None
+
+    def accepts(self, text: str) -> bool:
+        """True if any dialect accepts the text."""
+        return self.accepting(text) is not None
 
 
 def _c_like(lexeme: str):
@@ -103,6 +103,7 @@ def _c_like(lexeme: str):
 
 JAVA = r"""
 file := item+
+rest := (item | stmt | '}')+
 item := 'package' qname ';' | 'import' 'static'? qname ';' | member
 qname := id ('.' (id | '*'))*
 id := NAME | 'record' | 'sealed' | 'permits' | 'var' | 'yield' | 'module' | 'with' | 'when'
@@ -110,7 +111,7 @@ mod := annotation | 'public' | 'private' | 'protected' | 'static' | 'final' | 'a
 annotation := '@' id ('.' id)* ('(' (annarg (',' annarg)*)? ')')?
 annarg := annvalue ('=' annvalue)?
 annvalue := expr | annotation | '{' (annvalue (',' annvalue)*)? ','? '}'
-member := ';' | mod+ declared? | declared | block
+member! := ';' | mod+ (declared | block) | declared | block
 declared := classdecl | typeparams? typed
 classdecl := ('class' | 'interface' | '@' 'interface') id typeparams? ('extends' type (',' type)*)? ('implements' type (',' type)*)? ('permits' type (',' type)*)? body
   | 'enum' id ('implements' type (',' type)*)? '{' (econst (',' econst)*)? ','? (';' member*)? '}'
@@ -169,7 +170,8 @@ arrayinit := '{' (init (',' init)*)? ','? '}'
 
 C = r"""
 file := item+
-item := ';' | decl | 'asm' '(' STR ')' ';' | '_Static_assert' '(' args ')' ';' | 'extern' STR '{' item* '}'
+rest := (item | stmt | '}')+
+item! := ';' | decl | 'asm' '(' STR ')' ';' | '_Static_assert' '(' args ')' ';' | 'extern' STR '{' item* '}'
 spec := 'typedef' | 'extern' | 'static' | 'inline' | 'register' | 'auto' | 'const' | 'volatile' | 'restrict' | 'unsigned' | 'signed' | 'int' | 'char' | 'short' | 'long' | 'float' | 'double' | 'void' | '_Bool' | '_Thread_local' | '_Noreturn' | '__inline' | '__extension__' | attr | aggregate
 attr := ('__attribute__' | '_Alignas' | '__declspec') '(' soup* ')'
 soup := NAME | NUM | STR | ',' | '=' | '(' soup* ')' | 'const' | 'int'
@@ -179,7 +181,7 @@ fdecl := declarator? ':' expr | declarator
 enums := enumc (',' enumc)* ','?
 enumc := NAME ('=' expr)?
 specs := spec+ (NAME spec*)? | NAME spec*
-decl := specs declared? 
+decl := specs declared | ('typedef' | 'static' | 'extern' | 'const')* aggregate | NAME
 declared := ';' | inits ';' | declarator attr* (block | (specs inits ';')+ block)
 inits := init1 (',' init1)*
 init1 := declarator attr* ('=' init)?
@@ -219,6 +221,7 @@ primary := NAME | NUM | STR+ | '(' expr ')' | '(' block ')' | '_Generic' '(' arg
 
 _JS = r"""
 file := (stmt | sexpr (end | ':') | simple end)+
+rest := (stmt | sexpr (end | ':') | simple end | cmember | '}')+
 id := NAME | 'of' | 'get' | 'set' | 'async' | 'from' | 'as' | 'static' | 'type' | 'readonly' | 'declare' | 'abstract' | 'namespace' | 'module' | 'keyof' | 'is' | 'public' | 'private' | 'protected' | 'override' | 'satisfies' | 'infer' | 'accessor' | 'global' | 'asserts' | 'unique' | 'any' | 'unknown' | 'never' | 'string' | 'number' | 'boolean' | 'object' | 'symbol' | 'bigint' | 'undefined' | 'target' | 'meta' | 'interface'
 anyname := id | 'if' | 'else' | 'for' | 'while' | 'do' | 'return' | 'break' | 'continue' | 'switch' | 'case' | 'default' | 'throw' | 'try' | 'catch' | 'finally' | 'new' | 'delete' | 'typeof' | 'void' | 'in' | 'instanceof' | 'this' | 'super' | 'class' | 'extends' | 'function' | 'var' | 'const' | 'import' | 'export' | 'null' | 'true' | 'false' | 'enum' | 'debugger' | 'with' | 'implements' | 'let' | 'yield' | 'await'
 end := ';' | ASI
@@ -231,7 +234,7 @@ stmt := block | end | func | class | 'if' '(' expr ')' sub ('else' sub)? | 'whil
   | 'try' block (ASI? 'catch' ('(' pattern %COLON% ')')? block)? (ASI? 'finally' block)? | import | export | decorated %TSSTMT%
 decorated := decorator+ ASI* ('export' 'default'?)? class
 vars := var1 (',' var1)*
-var1 := pattern %BANG% %COLON% ('=' assign)?
+var1! := pattern %BANG% %COLON% ('=' assign)?
 pattern := id | arrpat | objpat
 arrpat := '[' (pelem? ',')* pelem? ']'
 pelem := '...' pattern | pattern ('=' assign)?
@@ -241,12 +244,12 @@ case := ('case' expr | 'default') ':' stmts?
 forhead := (('var' | 'let' | 'const') forvars | expr)? ';' expr? ';' expr? | ('var' | 'let' | 'const') pattern ('of' assign | 'in' expr) | unary ('of' assign | 'in' expr)
 forvars := forvar (',' forvar)*
 forvar := pattern %COLON% ('=' assign)?
-func := 'async'? 'function' '*'? id? sig block %OVERLOAD%
+func! := 'async'? 'function' '*'? id? sig block %OVERLOAD%
 sig := %TPARAMS% '('! params? ')' %RET%
 params := param (',' param)* ','?
 param := decorator* %PMOD% ('...')? (pattern %OPT% | 'this') %COLON% ('=' assign)?
 class := %ABSTRACT% 'class' id? %TPARAMS% ('extends' unary %TARGS%)? %IMPL% '{' cmember* '}'
-cmember := end | decorator* ASI* cmod* ( '*'? propname %OPTB% ( sig (block | %NOBODY%) | %COLON% ('=' assign)? end? ) | 'static' block ) | %INDEX%
+cmember! := end | decorator* ASI* cmod* ( '*'? propname %OPTB% ( sig (block | %NOBODY%) | %COLON% ('=' assign)? end? ) | 'static' block ) | %INDEX%
 cmod := 'static' | 'async' | 'get' | 'set' | 'accessor' %CMOD%
 propname := anyname | STR | NUM | '[' assign ']' | PRIVATE
 decorator := '@' postfix
@@ -264,7 +267,7 @@ sarrow := 'async'? %TPARAMS% '(' params? ')' %RET% '=>' (block | assign)
 sprimary := NUM | STR | REGEX | 'true' | 'false' | 'null' | 'this' | 'super' | id | PRIVATE | '(' expr ')' | array | 'new' ('.' id | newx)
 tailx := assop assign | (binop unary | %ASX%)+ tern? | tern
 tern := '?' assign ':' assign
-arrow := 'async' id '=>' (block | assign) | 'async'? %TPARAMS% '(' params? ')' %RET% '=>' (block | assign)
+arrow! := 'async' id '=>' (block | assign) | 'async'? %TPARAMS% '(' params? ')' %RET% '=>' (block | assign)
 assop := '=' | '+=' | '-=' | '*=' | '/=' | '%=' | '**=' | '<<=' | '>>=' | '>>>=' | '&=' | '|=' | '^=' | '&&=' | '||=' | '??='
 binop := '+' | '-' | '*' | '/' | '%' | '**' | '&&' | '||' | '??' | '&' | '|' | '^' | '==' | '!=' | '===' | '!==' | '<' | '>' | '<=' | '>=' | '<<' | '>' '>' | '>' '>' '>' | 'in' | 'instanceof'
 unop := '+' | '-' | '!' | '~' | '++' | '--' | 'typeof' | 'void' | 'delete' | 'await'
@@ -278,7 +281,7 @@ newx := ('new')* primary newtrail* %TARGS% ('(' args? ')')?
 newtrail := '.' (anyname | PRIVATE) | '[' expr ']'
 array := '[' (arg? ',')* arg? ']'
 object := '{' (prop (',' prop)*)? ','? '}'
-prop := '...' assign | anyname (':' assign | '=' assign | sig block)? | (STR | NUM | PRIVATE | '[' assign ']') (':' assign | sig block) | (pmod+ '*'? | '*') propname sig block
+prop! := '...' assign | anyname (':' assign | '=' assign | sig block)? | (STR | NUM | PRIVATE | '[' assign ']') (':' assign | sig block) | (pmod+ '*'? | '*') propname sig block
 pmod := 'async' | 'get' | 'set'
 """
 
@@ -295,8 +298,8 @@ targs := '<' type (',' type)* '>'
 tparams := '<' tparam (',' tparam)* ','? '>'
 tparam := ('const' | 'in' | 'out')? id ('extends' type)? ('=' type)?
 tobj := '{' tmember* '}'
-tmember := end | ',' | ('readonly' | '+' 'readonly' | '-' 'readonly')? ( propname '?'? (tsig | ':' type)? | tsig | 'new' tsig | '[' id ('in' | ':') type ('as' type)? ']' (('+' | '-')? '?')? ':' type ) | ('get' | 'set') propname tsig
-tsig := tparams? '(' params? ')' (':' type)?
+tmember! := end | ',' | ('readonly' | '+' 'readonly' | '-' 'readonly')? ( propname '?'? (tsig | ':' type)? | tsig | 'new' tsig | '[' id ('in' | ':') type ('as' type)? ']' (('+' | '-')? '?')? ':' type ) | ('get' | 'set') propname tsig
+tsig := tparams? '('! params? ')' (':' type)?
 interface := 'interface' id tparams? ('extends' type (',' type)*)? tobj
 alias := 'type' id tparams? '=' type end?
 enum := 'const'? 'enum' id '{' (econst (',' econst)*)? ','? '}'
@@ -339,6 +342,7 @@ TYPESCRIPT = _fill(_JS, _TYPED) + _TS_EXTRA
 
 GO = r"""
 file := ('package' NAME ';' | top ';')+
+rest := (top ';' | stmt ';' | '}' ';')+
 top := 'import' (impspec | '(' (impspec ';')* impspec? ')') | decl | func
 impspec := ('.' | NAME)? STR
 decl := 'const' group | 'var' group | 'type' tgroup
@@ -349,7 +353,7 @@ tspec := NAME tparams? '='? type
 tparams := '[' tparam (',' tparam)* ','? ']'
 tparam := NAME (',' NAME)* constraint
 constraint := '~'? type ('|' '~'? type)*
-func := 'func' ('(' params? ')')? NAME tparams? '('! params? ')' result? block?
+func! := 'func' ('(' params? ')')? NAME tparams? '('! params? ')' result? block?
 result := type | '(' params? ')'
 params := param (',' param)* ','?
 param := '...' type | type ('...'? type)?
@@ -400,6 +404,7 @@ value := expr | literal
 
 _RUST = r"""
 file := innerattr* item+
+rest := (item | 'let' pattern (':' type)? ('=' expr ('else' block)?)? ';' | attr* nexpr ';' | attr* blocklike | '}' | ';')+
 innerattr := '#' '!' '[' tree* ']'
 attr := '#' '[' tree* ']'
 tree := '(' tree* ')' | '[' tree* ']' | '{' tree* '}' | NAME | NUM | STR | LIFE | kw | punct
@@ -407,7 +412,7 @@ kw := 'fn' | 'pub' | 'use' | 'mod' | 'struct' | 'enum' | 'impl' | 'trait' | 'for
 punct := ',' | ';' | ':' | '::' | '.' | '..' | '...' | '..=' | '=' | '==' | '!=' | '!' | '<' | '>' | '<=' | '>=' | '+' | '-' | '*' | '/' | '%' | '^' | '&' | '|' | '&&' | '||' | '->' | '=>' | '#' | '$' | '?' | '@' | '~' | '+=' | '-=' | '*=' | '/=' | '%=' | '^=' | '&=' | '|=' | '<<' | '<<='
 id := NAME | 'union'
 vis := 'pub' ('(' ('in'? path) ')')?
-item := attr* vis? (kind | path '!' delim ';'?) | innerattr
+item! := attr* vis? (kind | path '!' delim ';'?) | innerattr
 kind := 'use' usetree ';' | 'mod' id (';' | '{' item* '}') | 'extern' 'crate' id ('as' id)? ';' | ('static' 'mut'? | 'const') (id | '_') (':' type)? ('=' expr)? ';' | 'type' id generics? (':' bounds)? where? ('=' type)? where? ';'
   | fn | 'struct' id generics? (where? fields | tuple where? ';' | where? ';') | ('union') id generics? where? fields | 'enum' id generics? where? '{' (variant (',' variant)*)? ','? '}'
   | 'unsafe'? 'trait' id generics? (':' bounds)? where? '{' assoc* '}' | 'unsafe'? 'impl' generics? 'const'? '!'? type ('for' type)? where? '{' assoc* '}' | 'unsafe'? 'extern' STR? '{' assoc* '}' | 'macro_rules' '!' id delim ';'?
@@ -415,7 +420,7 @@ assoc := item
 delim := '(' tree* ')' | '{' tree* '}' | '[' tree* ']'
 usetree := ('::')? (useseg ('::' (useseg | '*' | '{' (usetree (',' usetree)*)? ','? '}'))* | '*' | '{' (usetree (',' usetree)*)? ','? '}') ('as' (id | '_'))?
 useseg := id | 'crate' | 'self' | 'super' | 'Self'
-fn := ('const' | 'async' | 'unsafe' | 'extern' STR?)* 'fn' id generics? '('! (fparam (',' fparam)*)? ','? ')' ('->' type)? where? (block | ';')
+fn! := ('const' | 'async' | 'unsafe' | 'extern' STR?)* 'fn' id generics? '('! (fparam (',' fparam)*)? ','? ')' ('->' type)? where? (block | ';')
 fparam := attr* (('&' LIFE?)? 'mut'? 'self' (':' type)? | pattern ':' type | '...')
 generics := '<' (gparam (',' gparam)*)? ','? '>'
 gparam := attr* (LIFE (':' LIFE ('+' LIFE)*)? | id (':' bounds?)? ('=' type)? | 'const' id ':' type ('=' expr)?)
@@ -479,17 +484,18 @@ RUST = _RUST.replace("%E%", "ux (binop ux)* (asop expr | rangeop ux? (binop ux)*
 
 PYTHON = r"""
 file := (stmt | NL)+
+rest := (stmt | NL | INDENT | DEDENT)+
 stmt := simple (';' simple)* ';'? NL | compound
 compound := 'if' named ':' suite ('elif' named ':' suite)* ('else' ':' suite)? | 'while' named ':' suite ('else' ':' suite)? | for | try | with | func | class | decorated | 'async' (func | with | for) | match
 for := 'for' targets 'in' stars ':' suite ('else' ':' suite)?
 try := 'try' ':' suite (('except' '*'? (test ((',' test)+ | 'as' id)?)? ':' suite)+ ('else' ':' suite)? ('finally' ':' suite)? | 'finally' ':' suite)
 with := 'with' (witem (',' witem)* | '(' witem (',' witem)* ','? ')') ':' suite
 witem := test ('as' target)?
-func := 'def' id tparams? '('! params? ')' ('->' stars)? ':' suite
+func! := 'def' id tparams? '('! params? ')' ('->' stars)? ':'! suite
 class := 'class' id tparams? ('(' args? ')')? ':' suite
 tparams := '[' tparam (',' tparam)* ','? ']'
 tparam := ('*' | '**')? id (':' test)? ('=' test)?
-decorated := ('@' named NL)+ ('async'? func | class)
+decorated! := ('@' named NL)+ ('async'? func | class)
 match := 'match' stars ':' NL INDENT ('case' patterns ('if' named)? ':' suite)+ DEDENT
 patterns := pattern (',' pattern)* ','?
 pattern := orpat ('as' id)?
@@ -644,11 +650,12 @@ op1 := '+' | '-' | '/' | '%' | '||' | '|' | '&' | '^' | '#' | '->' | '->>' | '<<
 
 BASH = r"""
 file := (NL | list)+
+rest := (NL | list | '}' | ')' | ';' | 'fi' | 'done' | 'esac' | ';;')+
 list := andor ((';' | '&' | NL) NL* andor)* (';' | '&')?
 andor := pipe (('&&' | '||') NL* pipe)*
 pipe := '!'? cmd (('|' | '|&') NL* cmd)*
 cmd := simple | compound redir* | 'function' word ('(' ')')? NL* compound | fdef
-fdef := WORD '('! ')' NL* compound
+fdef! := WORD '('! ')' NL* compound
 simple := (ASSIGN | redir)+ ((WORD | '[[' | 'time') (arg | redir)*)? | (WORD | TEST) (arg | redir | '(' arg* ')')*
 arg := WORD | ASSIGN | TEST | 'if' | 'then' | 'else' | 'elif' | 'fi' | 'for' | 'in' | 'do' | 'done' | 'while' | 'until' | 'case' | 'esac' | 'function' | '{' | '}' | '!' | 'select' | 'time' | '[[' | ']]'
 word := WORD | ASSIGN
@@ -946,9 +953,9 @@ class Yaml(Language):
     def __init__(self):
         self.dialects = [Grammar(YAML)]
 
-    def accepts(self, text: str) -> bool:
+    def accepting(self, text: str) -> int | None:
         toks = yaml_tokens(text, self.dialects[0].terminals)
-        return len(toks) == 1 or (ERROR not in toks and self.dialects[0].parse(toks)[0])
+        return 0 if len(toks) == 1 or ERROR not in toks and self.dialects[0].parse(toks)[0] else None
 
 
 # ---------------------------------------------------------------- lexers

@@ -1,13 +1,14 @@
 """Validity of source chunks and functions with their documentation, by generalised LL parsing.
 
-Both run in one narrow pass over the chunks: a chunk is lexed and parsed by all dialects of the
-language its file extension stands for. Where a parse fails, it starts again at the next
-definition, so that whole functions of broken files come out too.
+Both run in one narrow pass over the chunks: a chunk is lexed and parsed by the dialects of the
+language its file extension stands for. Functions are matches of the grammars' rules. Where a parse
+fails, it goes on at the next line, so that whole functions of broken files come out too.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,8 +21,9 @@ from codelode.operators.projects import project_of
 from codelode.session import cut_lineage, spread
 
 MIN_WORDS = 5
-#: A description found in more files than this is a template and says nothing about a function.
-TEMPLATE_FILES = 50
+#: A description of more than this share of the files with descriptions (and of more than one) is
+#: a template and says nothing about a function.
+TEMPLATE_SHARE = 0.01
 
 
 def extension(path: Column) -> Column:
@@ -40,220 +42,186 @@ def valid(text: str | None, language: str | None) -> bool:
 
 # ------------------------------------------------------------------ functions of a chunk
 
-_OPEN = {"java": "{", "c": "{", "javascript": "{", "typescript": "{", "go": "{", "rust": "{", "bash": "{"}
-_NOT_NAMES = {"if", "for", "while", "switch", "catch", "return", "function", "func", "new", "sizeof", "constructor"}
+#: Rules of the grammars whose matches are functions, and rules whose matches may begin ahead of one.
+FUNCTION_RULES = {
+    "java": ({"member"}, set()),
+    "c": ({"item"}, set()),
+    "javascript": ({"func", "cmember", "prop"}, set()),
+    "typescript": ({"func", "cmember", "prop", "tmember"}, set()),
+    "go": ({"func"}, set()),
+    "rust": ({"fn"}, {"item"}),
+    "python": ({"func"}, {"decorated"}),
+    "bash": ({"fdef"}, set()),
+}
+#: Rules that bind a name to a value, which may be a function, and those of functions without a name.
+BINDINGS, UNNAMED = {"var1", "cmember"}, {"arrow", "func"}
 
 
 class _Chunk:
-    """A lexed chunk with what the extraction needs: tokens, their spans and their texts."""
+    """A lexed chunk: tokens of one dialect, their spans and their texts."""
 
-    def __init__(self, text: str, language: str):
+    def __init__(self, text: str, language: str, dialect: int = 0):
         self.text, self.language = text, language
         self.lang = grammars.language(language)
         spans = [m.span() for m in self.lang.rx.finditer(text)]
         lexemes = [text[a:b] for a, b in spans]
-        self.toks, at = self.lang.tokens(lexemes, 0)
-        at = at if at is not None else self.lang.where(lexemes, 0)
+        self.grammar = self.lang.dialects[dialect]
+        self.toks, at = self.lang.tokens(lexemes, dialect)
+        at = at if at is not None else self.lang.where(lexemes, dialect)
         self.spans = [spans[j] for j in at]
         self.words = [lexemes[j] for j in at]
-        t = self.lang.dialects[0].terminals
-        self.t = t
+        t = self.grammar.terminals
         # tokens that a layout puts in have no text of their own
-        self.virtual = {t[x] for x in ("ASI", "NL", "INDENT", "DEDENT") if x in t}
-
-    def pair(self, i: int, opening: str, closing: str) -> int | None:
-        """Index of the token that closes the bracket at ``i``."""
-        a, b, depth = self.t[opening], self.t[closing], 0
-        for j in range(i, len(self.toks) - 1):
-            k = self.toks[j]
-            if k == a:
-                depth += 1
-            elif k == b:
-                depth -= 1
-                if not depth:
-                    return j
-        return None
+        virtual = {t[x] for x in ("ASI", "NL", "INDENT", "DEDENT") if x in t}
+        self.real = [k not in virtual and not w.startswith("\n") for k, w in zip(self.toks, self.words, strict=False)]
+        self.breaks = [k for k, x in enumerate(text) if x == "\n"]
+
+    def line_of(self, at: int) -> int:
+        """Number of the line that holds a character, from 0."""
+        return bisect_left(self.breaks, at)
+
+    def line(self, k: int) -> str:
+        return self.text[self.breaks[k - 1] + 1 if k else 0 : self.breaks[k] if k < len(self.breaks) else len(self.text)]
+
+    def begins_line(self, i: int) -> bool:
+        a = self.spans[i][0]
+        return self.real[i] and self.toks[i] != ERROR and not self.text[(self.breaks[k - 1] + 1 if (k := self.line_of(a)) else 0) : a].strip()
+
+    def end(self, b: int) -> int:
+        """Offset behind the last token with text before token ``b``."""
+        while b > 1 and not self.real[b - 1]:
+            b -= 1
+        return self.spans[b - 1][1]
 
 
-def parse_chunk(c: _Chunk) -> tuple[bool, list[int], list[tuple[int, int]]]:
-    """(valid, marked tokens, token ranges the parser got through).
+def parse_chunk(text: str, language: str) -> tuple[_Chunk, bool, list]:
+    """(lexed chunk, valid, events of the parser), by the first dialect that accepts the chunk.
 
-    After a rejection the parser starts again at the next token that begins a line at column 0
-    and is no closing bracket.
+    Where none does, the first one goes on after each rejection, with the rule for what may follow
+    an error: at the rejected token if that begins a line, else at the next one that does, however
+    far it is indented.
     """
-    g, n = c.lang.dialects[0], len(c.toks) - 1
-    at, marks, ranges, whole = 0, [], [], True
-    while at < n:
-        ok, i, found = g.parse(c.toks, at)
-        marks += found
-        ranges.append((at, n if ok else i))
-        if ok:
-            break
-        whole = False
-        at = max(i, at) + 1
-        while at < n:
-            a = c.spans[at][0]
-            if c.toks[at] not in c.virtual and c.toks[at] != ERROR and (a == 0 or c.text[a - 1] == "\n") and c.words[at] not in "})]":
-                break
-            at += 1
-    return whole, marks, ranges
+    c = None
+    for d in range(len(grammars.language(language).dialects)):
+        x = _Chunk(text, language, d)
+        ok, i, found = x.grammar.parse(x.toks)
+        if ok or len(x.toks) == 1:
+            return x, True, found
+        if c is None:
+            c, at, events = x, i, found
+    n, k = len(c.toks) - 1, 0
+    while True:
+        k = max(k, at)
+        while k < n and not c.begins_line(k):
+            k += 1
+        if k >= n:
+            return c, False, events
+        done, at, more = c.grammar.parse(c.toks, k, c.grammar.rest)
+        events += more
+        if done:
+            return c, False, events
+        k += 1
 
 
-def _name_before(c: _Chunk, i: int) -> int | None:
+def _name_before(c: _Chunk, i: int, first: int) -> int | None:
     """Token of the function name before the parenthesis at ``i``; skips type parameters."""
     j = i - 1
-    if j >= 0 and c.words[j] in (">", "]"):
+    if j >= first and (c.words[j] == ">" or c.words[j] == "]" and c.language in ("go", "python")):
         closing, opening, depth = c.words[j], "<" if c.words[j] == ">" else "[", 0
-        while j >= 0:
+        while j >= first:
             depth += (c.words[j] == closing) - (c.words[j] == opening)
             j -= 1
             if not depth:
                 break
-    return j if j >= 0 and re.match(r"[#\w$]", c.words[j]) and c.words[j] not in _NOT_NAMES else None
+    # ``function (``: a keyword, not a name
+    keyword = c.language in ("javascript", "typescript") and c.words[j] == "function" or c.language == "typescript" and c.words[j] == "new" and j == first
+    return j if j >= first and re.match(r"[#\w$]", c.words[j]) and not keyword else None
 
 
-def _body_end(c: _Chunk, i: int) -> int | None:
-    """Index of the last token of the body that follows the parameter list opened at ``i``; None without a body."""
-    j = c.pair(i, "(", ")")
-    if j is None:
-        return None
-    if c.language == "bash":
-        k = next((k for k in range(j + 1, len(c.toks) - 1) if c.words[k] in ("{", "(")), None)
-        return None if k is None else c.pair(k, c.words[k], {"{": "}", "(": ")"}[c.words[k]])
-    opening, semi = c.t["{"], c.t.get(";")
-    depth = 0
-    typed = c.language in ("typescript", "go")
-    for k in range(j + 1, len(c.toks) - 1):
-        if c.words[k] in ("(", "[", "<"):
+def _bound(c: _Chunk, rule: str, a: int, b: int, unnamed: dict[int, int]) -> tuple[int, int] | None:
+    """(name token, end) of ``name = function`` in the tokens ``a`` to ``b``; None if the value is no function."""
+    w, depth, name = c.words, 0, None
+    for j in range(a, b):
+        x = w[j]
+        if x in ("(", "[", "{"):
             depth += 1
-        elif c.words[k] in (")", "]", ">"):
+        elif x in (")", "]", "}"):
             depth -= 1
-        elif c.toks[k] == opening:
-            prev = c.words[k - 1]
-            if typed and prev in (":", "|", "&", "struct", "interface"):  # a type in braces
-                return_type = c.pair(k, "{", "}")
-                if return_type is None:
-                    return None
-                continue
-            return c.pair(k, "{", "}")
-        elif depth <= 0 and (c.toks[k] == semi or c.words[k] == "=" and c.language != "rust"):
-            return None
-    return None
-
-
-def _arrows(c: _Chunk) -> list[tuple[int, int, int]]:
-    """(first token, name token, last token) of functions bound to a name by ``const f = (...) => ...``."""
-    out = []
-    w, n = c.words, len(c.toks) - 1
-    for i in range(n - 4):
-        if w[i] not in ("const", "let", "var") or not re.match(r"[\w$]", w[i + 1]):
+        elif depth:
             continue
-        j = i + 2
-        if w[j] == ":":
-            while j < n and w[j] not in ("=", ";"):
-                j += 1
-        if j >= n or w[j] != "=":
-            continue
-        j += 1
-        if j < n and w[j] == "async":
-            j += 1
-        if j >= n:
-            continue
-        if w[j] == "function":
-            k = next((k for k in range(j, min(n, j + 4)) if w[k] == "("), None)
-            end = None if k is None else _body_end(c, k)
-            if end is not None:
-                out.append((i, i + 1, end))
-            continue
-        if w[j] == "(":
-            k = c.pair(j, "(", ")")
-            if k is None:
-                continue
-            k += 1
-            if k < n and w[k] == ":":
-                while k < n and w[k] not in ("=>", ";") and c.toks[k] not in c.virtual:
-                    k += 1
-        elif re.match(r"[\w$]", w[j]):
-            k = j + 1
-        else:
-            continue
-        if k < n - 1 and w[k] == "=>":
-            end = c.pair(k + 1, "{", "}") if w[k + 1] == "{" else k + 1
-            if end is not None:
-                out.append((i, i + 1, end))
-    return out
-
-
-def _python_end(text: str, a: int) -> int:
-    """Offset of the end of the definition whose first line starts at ``a``."""
-    indent = len(text[a:]) - len(text[a:].lstrip(" \t"))
-    first = text.find("\n", a)
-    at = first if first >= 0 else len(text)
-    end = at
-    while at < len(text):
-        nxt = text.find("\n", at + 1)
-        nxt = len(text) if nxt < 0 else nxt
-        line = text[at + 1 : nxt]
-        body = line.lstrip(" \t")
-        if body and body[0] not in "\r)]}" and len(line) - len(body) <= indent and end > first:
-            break
-        if body.strip() and len(line) - len(body) <= indent and body[0] not in ")]}":
+        elif x == "=" and c.real[j]:
             break
-        if body.strip():
-            end = nxt
-        at = nxt
-    return end
+        elif x == ":" and name is not None:
+            continue
+        elif re.match(r"[#\w$]", x) and (name is None or w[j - 1] != ":" and rule == "cmember" and ":" not in w[a:j]):
+            name = j
+    else:
+        return None
+    if name is None or j + 1 >= b or rule == "var1" and name != a:
+        return None
+    if j + 1 in unnamed:
+        return name, unnamed[j + 1]
+    # parameters that read as an expression up to the arrow
+    j += 2 if w[j + 1] == "async" else 1
+    if j < b and w[j] == "(":
+        depth = 0
+        for j in range(j, b):  # noqa: B020
+            depth += (w[j] == "(") - (w[j] == ")")
+            if not depth:
+                break
+    return (name, b) if j + 1 < b and w[j + 1] == "=>" else None
+
+
+def _after_annotations(c: _Chunk, a: int, b: int) -> int:
+    """First token of a declaration behind its annotations."""
+    while a < b and c.words[a] in ("@", "#") and c.language != "javascript" or a < b and not c.real[a]:
+        a += 1
+        depth = 0
+        while a < b and (depth or re.match(r"[\w.!(\[]", c.words[a])):
+            depth += (c.words[a] in "([") - (c.words[a] in ")]")
+            a += 1
+            if not depth and not (a < b and c.words[a] in (".", "(", "[", "!")) and c.words[a - 1] not in (".", "!"):
+                break
+    return a
 
 
 _LINE_MARK = {"java": "//", "c": "//", "javascript": "//", "typescript": "//", "go": "//", "rust": "//", "bash": "#"}
 _BETWEEN = re.compile(r"[ \t]*(?:@[\w.]+(?:\(.*\))?|#!?\[.*\])[ \t]*\r?$")
 
 
-def comment_above(text: str, start: int, language: str) -> str:
+def comment_above(c: _Chunk, start: int) -> str:
     """The comment that ends on the line above the one that holds ``start``; annotations may stand between."""
-    lines = text[: text.rfind("\n", 0, start) + 1].split("\n")[:-1]
-    mark = _LINE_MARK.get(language)
-    j = len(lines) - 1
-    while j >= 0 and _BETWEEN.match(lines[j]):
+    mark = _LINE_MARK.get(c.language)
+    j = c.line_of(start) - 1
+    while j >= 0 and _BETWEEN.match(c.line(j)):
         j -= 1
     if j < 0 or mark is None:
         return ""
-    if language != "bash" and lines[j].rstrip().endswith("*/"):
+    if c.language != "bash" and c.line(j).rstrip().endswith("*/"):
         k = j
-        while k >= 0 and "/*" not in lines[k]:
+        while k >= 0 and "/*" not in c.line(k):
             k -= 1
-        if k < 0 or not lines[k].lstrip().startswith("/*"):
+        if k < 0 or not c.line(k).lstrip().startswith("/*"):
             return ""
-        return "\n".join(lines[k : j + 1])
+        return "\n".join(map(c.line, range(k, j + 1)))
     k = j
-    while k >= 0 and lines[k].lstrip().startswith(mark) and not _BETWEEN.match(lines[k]):
+    while k >= 0 and c.line(k).lstrip().startswith(mark) and not _BETWEEN.match(c.line(k)):
         k -= 1
-    return "\n".join(lines[k + 1 : j + 1])
+    return "\n".join(map(c.line, range(k + 1, j + 1)))
 
 
-def _statement_start(c: _Chunk, i: int) -> int:
-    """First token of the declaration that holds token ``i``."""
-    stop = {"{", "}", ";"}
-    j, depth = i, 0
-    while j > 0:
-        w = c.words[j - 1]
-        if w in (")", "]", ">") and c.toks[j - 1] not in c.virtual:
-            depth += 1
-        elif w in ("(", "[", "<") and depth:
-            depth -= 1
-        elif not depth and (w in stop or c.toks[j - 1] in c.virtual or w == ","):
-            break
-        j -= 1
-    # annotations belong to the declaration, but its comment may stand above or below them
-    while j < i and c.words[j] in ("@", "#"):
-        line = c.text.find("\n", c.spans[j][0])
-        k = j
-        while k < i and c.spans[k][0] < (line if line >= 0 else len(c.text)):
-            k += 1
-        if k >= i:
+def _docstring(c: _Chunk, colon: int) -> str:
+    """The text of the string that is the first statement behind a colon, without its quotes."""
+    k, out, n = colon + 1, [], len(c.toks) - 1
+    while k < n and not c.real[k]:
+        k += 1
+    while k < n and c.real[k]:
+        m = re.fullmatch(r"""[rRuU]?(\"\"\"|\'\'\'|"|')((?s:.*))\1""", c.words[k])
+        if not m:
             break
-        j = k
-    return j
+        out.append(m[2])
+        k += 1
+    return "".join(out) if k >= n or not c.real[k] or c.words[k] == ";" else ""
 
 
 # ------------------------------------------------------------------ descriptions
@@ -295,51 +263,61 @@ def description(comment: str) -> tuple[str, int]:
     return text, sum(1 for w in text.split() if re.search(r"[^\W_]", w))
 
 
-_DOCSTRING = re.compile(r"""[ \t]*(?:\#[^\n]*)?(?:\r?\n[ \t]*(?:\#[^\n]*)?)*[ \t]*[rRuU]?(?P<q>\"\"\"|'''|"|')(?P<t>(?s:.*?))(?<!\\)(?P=q)""")
-
-
 def functions(text: str, language: str) -> tuple[bool, list[tuple[str, str, int, int]]]:
-    """(valid, [(name, raw comment, start, end)]) of one chunk; offsets are characters of the text."""
+    """(valid, [(name, raw comment, start, end)]) of one chunk; offsets are characters of the text.
+
+    Names, heads and bodies are what the parser matched. Of a broken chunk the functions come out
+    that are whole. Methods and prototypes without a body count.
+    """
     lang = grammars.language(language)
-    if lang is None or language not in (*_OPEN, "python"):
+    if lang is None or language not in FUNCTION_RULES:
         return valid(text, language), []
-    c = _Chunk(text, language)
+    c, ok, events = parse_chunk(text, language)
     if len(c.toks) == 1:
         return True, []
-    ok, marks, ranges = parse_chunk(c)
-    out = []
-    if language == "python":
-        for i in marks:
-            j = _name_before(c, i)
-            if j is None:
-                continue
-            start = text.rfind("\n", 0, c.spans[j][0]) + 1
-            end = _python_end(text, start)
-            if not ok and not any(a <= i and (b >= len(c.toks) - 1 or c.spans[b][0] >= end) for a, b in ranges):
-                continue
-            k = c.pair(i, "(", ")")
-            depth = 0
-            while k is not None and k < len(c.toks) - 1 and (c.words[k] != ":" or depth or c.toks[k] in c.virtual):
-                depth += (c.words[k] in "([{" and c.toks[k] not in c.virtual) - (c.words[k] in ")]}" and c.toks[k] not in c.virtual and k > c.pair(i, "(", ")"))
-                k += 1
-            doc = ""
-            if k is not None and k < len(c.toks) - 1:
-                m = _DOCSTRING.match(text, c.spans[k][1], max(end, c.spans[k][1]))
-                doc = m["t"] if m else ""
-            out.append((c.words[j], doc, start, end))
-        return ok, out
-    found = []
-    for i in marks:
-        j = _name_before(c, i)
-        end = _body_end(c, i) if j is not None else None
-        if end is not None:
-            found.append((_statement_start(c, j), j, end))
+    own, ahead = FUNCTION_RULES[language]
+    spans = {e for e in events if e.__class__ is tuple}
+    unnamed = {a: b for rule, a, b in spans if rule in UNNAMED}
+    wider = {}
+    for rule, a, b in spans:
+        if rule in ahead:
+            wider[b] = min(a, wider.get(b, a))
+    # every mark belongs to the innermost function around it
+    marks: dict[tuple, list[int]] = {}
+    todo = sorted([(e[1], -e[2], e) for e in spans if e[0] in own] + [(e, 1, None) for e in {e for e in events if e.__class__ is int}], key=lambda x: x[:2])
+    around: list[tuple] = []
+    for at, _, span in todo:
+        while around and around[-1][2] <= at:
+            around.pop()
+        if span is not None:
+            around.append(span)
+        elif around:
+            marks.setdefault(around[-1], []).append(at)
+    found: dict[tuple[int, int], tuple[int, int, list[int]]] = {}
+    for span, at in marks.items():
+        _, a, b = span
+        if language == "c" and c.words[a] == "typedef":
+            continue
+        if span[0] == "tmember" and c.words[a] == "(" and a and re.match(r"[\w$?]", c.words[a - 1]):
+            a -= 1  # read as a property and a call signature behind it
+        name = next((j for i in at if c.words[i] == "(" and (j := _name_before(c, i, a)) is not None), None)
+        if name is not None:
+            found[name, b] = (a, b, at)
     if language in ("javascript", "typescript"):
-        found += [(_statement_start(c, a), b, e) for a, b, e in _arrows(c)]
-    for first, j, end in found:
-        if ok or any(a <= first and end < b for a, b in ranges):
-            start = c.spans[first][0]
-            out.append((c.words[j].lstrip("#") if language != "rust" else c.words[j], comment_above(text, start, language), start, c.spans[end][1]))
+        for rule, a, b in spans:
+            got = _bound(c, rule, a, b, unnamed) if rule in BINDINGS else None
+            if got:
+                found[got] = (a, got[1], [])
+    out = []
+    for (name, _), (a, b, at) in found.items():
+        a = min(a, wider.get(b, a))
+        first = _after_annotations(c, a, name)
+        if language == "python":
+            colon = next((i for i in at if c.words[i] == ":"), None)
+            comment = _docstring(c, colon) if colon is not None else ""
+        else:
+            comment = comment_above(c, c.spans[first][0]) or comment_above(c, c.spans[a][0])
+        out.append((c.words[name].lstrip("#") if language != "rust" else c.words[name], comment, c.spans[a][0], c.end(b)))
     return ok, sorted(set(out), key=lambda x: x[2:])
 
 
@@ -429,12 +407,16 @@ def documented_functions(chunks: DataFrame, ext_languages: DataFrame, min_words:
     return named.drop("invalid").dropDuplicates(["id", "function_name"])
 
 
-def without_templates(functions_df: DataFrame, max_files: int = TEMPLATE_FILES) -> DataFrame:
-    """Functions whose description, apart from names and numbers, occurs in at most ``max_files`` files.
+def without_templates(functions_df: DataFrame, max_share: float = TEMPLATE_SHARE) -> DataFrame:
+    """Functions whose description, apart from names and numbers, occurs in at most ``max_share`` of the files.
 
-    Descriptions are counted by hash over the whole corpus, before the join and map-side.
+    The share is of the files that have a description, whatever the size of the corpus; what only
+    one file says is no template. Descriptions are counted by hash over all rows, map-side first.
     """
     key = F.xxhash64(F.regexp_replace(F.lower("description"), r"[^\p{L}]+", " "))
     keyed = functions_df.withColumn("__k", key)
-    often = keyed.select("__k", "file_path").distinct().groupBy("__k").agg(F.count("*").alias("__n")).where(F.col("__n") > max_files).select("__k")
+    total = functions_df.select("file_path").distinct().agg(F.count("*").alias("__total"))
+    count = keyed.select("__k", "file_path").distinct().groupBy("__k").agg(F.count("*").alias("__n")).where(F.col("__n") > 1)
+    # one row of figures beside a row per repeated description
+    often = count.join(F.broadcast(total), F.col("__n") > F.lit(max_share) * F.col("__total")).select("__k")
     return keyed.join(often, "__k", "left_anti").drop("__k")

@@ -95,7 +95,9 @@ def test_documented_functions(chunks, ext):
     assert got == {(1, "f"): "Reads all the rows and keeps the best ones.", (2, "g"): "Reads the rows for g, all of them.", (3, "H"): "H walks over every row and counts it."}
     broken = parsing.documented_functions(chunks, ext, keep_invalid=True)
     assert (4, "K") in {(r["id"], r["function_name"]) for r in broken.collect()}
-    assert parsing.without_templates(broken, max_files=0).count() == 0 and parsing.without_templates(broken).count() == 4
+    assert parsing.without_templates(broken).count() == 4
+    copies = broken.join(broken.sparkSession.range(3).select(F.col("id").alias("k"))).withColumn("file_path", F.concat("file_path", F.col("k").cast("string")))
+    assert parsing.without_templates(copies).count() == 0 and parsing.without_templates(copies, 0.5).count() == 12
     assert parsing.documented_functions(chunks.where("false"), ext).count() == 0
 
 
@@ -111,7 +113,7 @@ def test_functions_by_language():
     java = "/** Opens it. */\n@Override\npublic <T> List<T> open(int a) throws X {\n  return b(a);\n}\n"
     assert [(n, "Opens" in c) for n, c, _, _ in parsing.functions(java, "java")[1]] == [("open", True)]
     c = "// Frees it.\n\nstatic void drop(int a)\n{\n  f(a);\n}\nint proto(void);\n"
-    assert [(n, bool(x)) for n, x, _, _ in parsing.functions(c, "c")[1]] == [("drop", False)]
+    assert [(n, bool(x)) for n, x, _, _ in parsing.functions(c, "c")[1]] == [("drop", False), ("proto", False)]
 
 
 # ---- credentials

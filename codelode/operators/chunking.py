@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ast
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 
 from codelode import schema
 from codelode.functions import text as X
+from codelode.operators.definitions import SYNTAX, definitions
 
 
 def line_fold(text: Column, min_chars: int = schema.MIN_CHUNK, max_chars: int = schema.MAX_CHUNK) -> Column:
@@ -58,52 +58,12 @@ def chunk_by_lines(df: DataFrame, key_cols: list[str], text_col: str, min_chars:
     )
 
 
-def python_definitions(text: str, min_chars: int = schema.MIN_CHUNK) -> list[tuple[str, str, int, int, str]] | None:
-    """Definition chunks of a Python file; None where it has no definition or doesn't parse.
-
-    Top-level classes and functions of ``min_chars`` or more are chunks of any size, decorators
-    included; methods stay in their class. What lies between, statement by statement and without
-    those under ``min_chars``, is one ``<module>`` chunk in front.
-    """
-    try:
-        tree = ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError):
-        return None
-    ls = text.split("\n")
-    kinds = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
-
-    def span(node):
-        first = min([node.lineno, *[d.lineno for d in getattr(node, "decorator_list", [])]])
-        return first, node.end_lineno
-
-    if not any(isinstance(n, kinds) for n in tree.body):
-        return None
-    defs, rest, last = [], [], None
-    for node in tree.body:
-        a, b = span(node)
-        body = "\n".join(ls[a - 1 : b])
-        if isinstance(node, kinds):
-            if len(body) >= min_chars:
-                defs.append((node.name, body, a, b, "definition"))
-        elif len(body.strip()) >= min_chars:
-            rest.append((body.strip(), a))
-        last = b
-    out = []
-    if rest:
-        out.append(("<module>", "\n\n".join(x for x, _ in rest), rest[0][1], last, "module_level"))
-    return out + defs
-
-
-#: Languages with a definition parser; all others are cut by lines.
-DEFINITION_PARSERS = {"python": python_definitions}
-
-
-def chunk_files(files: DataFrame) -> DataFrame:
+def chunk_files(files: DataFrame, min_chars: int = schema.MIN_CHUNK) -> DataFrame:
     """``(file_path, language, symbol, content, start_line, end_line, kind)`` of files ``(path, language, content)``.
 
-    Files of a language with a definition parser go through it in Arrow batches; the others, and
-    those it finds no definition in, are folded by lines inside the JVM. Unknown languages and
-    blank files give nothing.
+    Files of a language with definition types are cut at their top-level definitions, in Arrow
+    batches; the others, and those without a definition, are folded by lines inside the JVM.
+    Unknown languages and blank files give nothing.
     """
     src = files.where(F.col("language").isNotNull() & F.col("content").isNotNull()).select(F.col("path").alias("file_path"), "language", X.unix_lines(F.col("content")).alias("content"))
     src = src.where(~X.is_blank(F.col("content")))
@@ -113,7 +73,7 @@ def chunk_files(files: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for p, lang, t in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                found = DEFINITION_PARSERS[lang](t)
+                found = definitions(t, lang, min_chars)
                 if found is None:
                     rows.append((p, lang, None, t, None, None, "fold"))
                 else:
@@ -122,8 +82,8 @@ def chunk_files(files: DataFrame) -> DataFrame:
                 kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["file_path", "language", "symbol", "content", "start_line", "end_line", "kind"])
 
-    known = F.col("language").isin(*DEFINITION_PARSERS)
+    known = F.col("language").isin(*SYNTAX)
     parsed = src.where(known).mapInArrow(run, schema_ddl)
     keys = ["file_path", "language"]
-    folded = chunk_by_lines(src.where(~known), keys, "content").unionByName(chunk_by_lines(parsed.where("kind = 'fold'"), keys, "content"))
+    folded = chunk_by_lines(src.where(~known).unionByName(parsed.where("kind = 'fold'").select(*keys, "content")), keys, "content", min_chars)
     return parsed.where("kind <> 'fold'").unionByName(folded)

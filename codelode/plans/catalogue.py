@@ -12,6 +12,7 @@ from codelode.functions import text as X
 from codelode.functions import vector as V
 from codelode.operators import chunking, projects, quality, search
 from codelode.operators.embed import HashingProvider
+from codelode.plans import samples
 from codelode.session import table
 
 DIM = 64
@@ -287,9 +288,19 @@ def chunk_stats_by_language(spark, d):
     return c.groupBy("lang").agg(F.count("*").alias("n"), F.sum(X.approx_tokens(F.col("content"))).alias("tokens"), F.max(F.length("content")).alias("longest"))
 
 
-@query()
+_DEFINITIONS = ", ".join(f"('{lang}', '{name}', CAST({first} AS INTEGER), CAST({last} AS INTEGER))" for lang, rows in samples.EXPECTED.items() for name, first, last in rows)
+
+
+@query(f"SELECT * FROM (VALUES {_DEFINITIONS}) t(language, symbol, start_line, end_line)")
 def definition_chunks(spark, d):
-    """Definitions of the Python chunks, each taken as a file; the others by lines."""
+    """Definitions of one fixed source file per language with definition types, against the expected ones."""
+    files = spark.createDataFrame([(f"sample.{lang}", lang, text) for lang, text in samples.SOURCES.items()], "path string, language string, content string")
+    return chunking.chunk_files(files, 1).where("kind = 'definition'").select("language", "symbol", "start_line", "end_line")
+
+
+@query()
+def definition_chunks_table(spark, d):
+    """Definitions of all chunks, each taken as a file; those without one by lines."""
     c = chunks(spark, d)
     return chunking.chunk_files(c.select(F.concat("file_path", F.lit("#"), "id").alias("path"), X.language_of(F.col("file_path")).alias("language"), "content"))
 

@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from codelode.operators import chunking, projects, quality, search
+from codelode.operators.definitions import definitions
 from codelode.operators.embed import HashingProvider, HttpProvider, create_provider, embed
+from codelode.plans import samples
 
 
 def fold(text, lo=100, hi=2000):
@@ -65,17 +67,43 @@ def tiny():
 
 
 def test_definitions():
-    got = chunking.python_definitions(PY)
+    got = definitions(PY, "python")
     assert [(g[0], g[4]) for g in got] == [("<module>", "module_level"), ("first", "definition"), ("Big", "definition")]
     assert got[1][1].startswith("@decorated") and len(got[2][1]) > 2000
-    assert chunking.python_definitions("x = 1\n") is None
-    assert chunking.python_definitions("def (:\n") is None
-    assert chunking.python_definitions("def a():\n    pass\n") == []
+    assert definitions("x = 1\n", "python") is None
+    assert definitions("def a():\n    pass\n", "python") == []
+
+
+@pytest.mark.parametrize("language", sorted(samples.SOURCES))
+def test_definitions_of_the_samples(language):
+    got = [x[:1] + x[2:4] for x in definitions(samples.SOURCES[language], language, 1) if x[4] == "definition"]
+    assert got == samples.EXPECTED[language]
+
+
+@pytest.mark.parametrize("language", sorted(samples.SOURCES))
+def test_definitions_of_cut_off_files(language):
+    text = samples.SOURCES[language]
+    for k in range(0, len(text), 7):  # every start of a file gives something, and spans stay in it
+        for symbol, content, first, last, _ in definitions(text[:k], language, 1) or []:
+            assert symbol and content and 1 <= first <= last <= text[:k].count("\n") + 1
+
+
+def test_definitions_behind_an_error():
+    go = "func A() {\n\tif x {\n}\n\nfunc B() {\n}\n"
+    assert [x[0] for x in definitions(go, "go", 1)] == ["A", "B"]
+    assert [x[0] for x in definitions("def a(:\n    x = (1,\n\ndef b():\n    pass\n", "python", 1)] == ["a", "b"]
+    assert [x[0] for x in definitions("}\nint f(void) {\n  return g(1;\n}\nint h(void) { return 1; }\n", "c", 1)] == ["f", "h"]
+    assert definitions("", "go") is None and definitions("}}})", "java") is None
+
+
+def test_offsets_are_characters():
+    got = definitions("x = 'äöü€'\ndef f():\n    return 'é'\n", "python", 1)
+    assert got[1][1] == "def f():\n    return 'é'"
 
 
 def test_chunk_files(spark):
     flat = "x = 1\n" * 50
-    rows = [("a.py", "python", PY), ("b.py", "python", flat), ("c.md", "markdown", "# t\r\n" + "word " * 40), ("d.py", "python", "def (:\n" + flat), ("e.x", None, flat), ("f.py", "python", None), ("g.py", "python", "  ")]
+    rows = [("a.py", "python", PY), ("b.py", "python", flat), ("c.md", "markdown", "# t\r\n" + "word " * 40), ("d.py", "python", "de (:\n" + flat), ("e.x", None, flat), ("f.py", "python", None), ("g.py", "python", "  ")]
     df = spark.createDataFrame(rows, "path string, language string, content string")
     got = {(r["file_path"], r["symbol"], r["kind"]) for r in chunking.chunk_files(df).collect()}
     assert got == {("a.py", "<module>", "module_level"), ("a.py", "first", "definition"), ("a.py", "Big", "definition"), ("b.py", "<block_1>", "line_based"), ("c.md", "<block_1>", "line_based"), ("d.py", "<block_1>", "line_based")}

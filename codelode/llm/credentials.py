@@ -115,57 +115,67 @@ _B64 = re.compile(r"[A-Za-z0-9+/=]{20,}")
 _WORDS_DIGITS = re.compile(r"[A-Za-z][a-z0-9]+[^A-Za-z0-9\s][A-Z][a-z0-9]+\d{2,}[^A-Za-z0-9\s]?")
 _VERSION = re.compile(r"v?\d+(?:\.\d+)+")
 _NUMBER = re.compile(r"[-+]?\d[\d.]*%?")
+_V_LOG_V = [0.0, *(v * math.log2(v) for v in range(1, 2000))]
 
 
 @lru_cache(maxsize=300_000)
 def shape(token: str) -> tuple[str, ...]:
-    """Shape features of a token: length, kinds of characters, how often they change, known forms."""
+    """Shape features of a token: length, kinds of characters, how often they change, known forms.
+
+    A form is only tried on tokens that hold the kinds of characters it needs.
+    """
     n = len(token)
     f = [f"len{min(n, 40) // 4}" if n < 40 else ("len10" if n < 60 else "len15")]
     low = token.lower()
     bare = low.strip("<>[]().,!?*\"'")
     kinds = token.translate(_KIND)
-    have = "".join(sorted(set(kinds)))
+    kind = set(kinds)
+    have = "".join(sorted(kind))
     f.append("set:" + have)
     changes = sum(map(ne, kinds, kinds[1:]))
     if n:
         f.append(f"chg{min(9, int(10 * changes / n))}")
     if n >= 6:
-        e = -sum([v / n * math.log2(v / n) for v in map(token.count, dict.fromkeys(token))])
-        f.append(f"ent{int(e * 2)}")
+        counts = map(token.count, dict.fromkeys(token))
+        e = math.log2(n) - (sum([_V_LOG_V[v] for v in counts]) if n < len(_V_LOG_V) else sum(v * math.log2(v) for v in counts)) / n
+        f.append(f"ent{int(e * 2 + 1e-9)}")
+    lower, upper, digit, dash, slash = "l" in kind, "u" in kind, "d" in kind, "-" in kind, "/" in kind
+    letters = lower or upper
     if bare in PLACEHOLDERS or _PLACEHOLDER.fullmatch(bare) or _MASKED.fullmatch(token):
         f.append("placeholder")
-    if _UPPER.fullmatch(token):
+    if upper and not (lower or digit or slash or "s" in kind) and _UPPER.fullmatch(token):
         f.append("upper")
-    if _LOW.fullmatch(token):
+    if not letters or slash or "s" in kind:
+        pass
+    elif lower and not upper and not digit and _LOW.fullmatch(token):
         f.append("ident-low")
-    elif _CAMEL.fullmatch(token):
+    elif lower and upper and not digit and not dash and _CAMEL.fullmatch(token):
         f.append("ident-camel")
-    elif _NUM.fullmatch(token):
+    elif digit and dash and _NUM.fullmatch(token):
         f.append("ident-num")
-    if _REFERENCE.match(low) or _PATHLIKE.fullmatch(token) and n < 60 and changes < n / 2 and not _MIXED.search(token):
+    if (slash or ":" in token) and _REFERENCE.match(low) or slash and _PATHLIKE.fullmatch(token) and n < 60 and changes < n / 2 and not _MIXED.search(token):
         f.append("path")
-    if _HOST.fullmatch(token) and _HOST_CHARS.fullmatch(token):
+    if not upper and dash and "." in token and _HOST.fullmatch(token) and _HOST_CHARS.fullmatch(token):
         f.append("host")
-    if _HEX.fullmatch(token):
+    if (lower or digit) and not (upper or dash or slash or "s" in kind) and _HEX.fullmatch(token):
         f.append("hex" if n in (32, 40, 64) else "hex-other")
-    if _UUID.fullmatch(token):
+    if n == 36 and _UUID.fullmatch(token):
         f.append("uuid")
-    if _DIGEST.match(low):
+    if low[:3] in ("sha", "md5") and _DIGEST.match(low):
         f.append("digest")
-    if _KNOWN.match(token):
+    if n >= 12 and _KNOWN.match(token):
         f.append("known")
-    if _B64.fullmatch(token):
+    if n >= 20 and _B64.fullmatch(token):
         f.append("b64")
         if n >= 60:
             f.append("b64-line")
-    if _WORDS_DIGITS.fullmatch(token):
+    if upper and digit and _WORDS_DIGITS.fullmatch(token):
         f.append("words+digits")
-    if _VERSION.fullmatch(token):
+    if digit and "." in token and _VERSION.fullmatch(token):
         f.append("version")
     if low.startswith(("base64,", "data:")):
         f.append("data-uri")
-    if _NUMBER.fullmatch(token):
+    if digit and not letters and _NUMBER.fullmatch(token):
         f.append("number")
     return tuple(f)
 

@@ -64,6 +64,15 @@ def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
     return credentials.find_credentials(table(spark, d, "code_chunks"), redact=True, only_found=False)
 
 
+def p3_redaction(spark: SparkSession, d: str) -> DataFrame:
+    """Per chunk: characters and line ends after blanking, and characters changed to anything but the blank."""
+    before = table(spark, d, "code_chunks").select("id", F.col("content").alias("old"))
+    both = p3_redacted(spark, d).join(before, "id")
+    other = F.size(F.filter(F.zip_with(F.split("old", ""), F.split("content", ""), lambda x, y: (x != y) & (y != credentials.BLANK)), lambda z: z))
+    breaks = F.length("content") - F.length(F.replace("content", F.lit("\n"), F.lit("")))
+    return both.select("id", F.length("content").alias("n_chars"), breaks.alias("n_breaks"), other.alias("n_other"))
+
+
 # 4: functions with their documentation
 
 
@@ -165,9 +174,10 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
     return encodings.restore_encoding(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_reasons, p1_kept, p2_found, p2_pieces, p3_found, p3_spans, p3_redacted, p4_found, p4_pairs, p5_found, p5_groups, p6_found, p6_rates, p7_found, p7_neighbours, p8_ids, p8_offsets, p8_decoded, p9_packed, p9_containers, p10_found, p10_restored)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_reasons, p1_kept, p2_found, p2_pieces, p3_found, p3_spans, p3_redacted, p3_redaction, p4_found, p4_pairs, p5_found, p5_groups, p6_found, p6_rates, p7_found, p7_neighbours, p8_ids, p8_offsets, p8_decoded, p9_packed, p9_containers, p10_found, p10_restored)}
 
 ORACLE_SQL: dict[str, str] = {
     "p2_found": "SELECT id FROM code_chunks WHERE length(content) > 2000",
+    "p3_redaction": "SELECT id, CAST(length(content) AS INTEGER) AS n_chars, CAST(length(content) - length(replace(content, chr(10), '')) AS INTEGER) AS n_breaks, 0 AS n_other FROM code_chunks",
     "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }

@@ -181,82 +181,97 @@ def signatures(df: DataFrame, id_col: str, text_col: str, words: int, bands: int
     return src.mapInArrow(run, schema)
 
 
-def _pairs_of_runs(similarity: float, limit: int):
-    """Streams rows sorted by (key, cls): pairs of small buckets; the nodes of large ones one by one."""
+def _pairs_of_runs(similarity: float, limit: int, whole: bool):
+    """Streams rows sorted by (key, cls): pairs of small buckets; the nodes of large ones one by one.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["big", "a", "b"]
+    Unless all rows of a key are here (``whole``), the first and the last bucket of the stream may
+    go on elsewhere: their rows come out as ``(edge, key, cls, n)``, one null class standing for
+    more rows than a small bucket has.
+    """
+    names = ["big", "edge", "a", "b"]
 
-        def emit(big, a, b):
-            return pa.RecordBatch.from_arrays([pa.array(big, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=names)
+    def emit(out):
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        key0, nodes, large, last, first_key = None, [], False, None, None  # the bucket that may go on in the next batch
+
+        def close(edge: bool) -> None:
+            if key0 is None:
+                return
+            if edge and not whole:
+                out.extend([(None, key0, None, 0)] if large else [(None, key0, c, k) for c, k in nodes])
+            elif not large:
+                for x in range(len(nodes)):
+                    for y in range(x + 1, len(nodes)):
+                        (ca, na), (cb, nb) = nodes[x], nodes[y]
+                        if min(na, nb) >= similarity * max(na, nb):
+                            out.append((None, None, min(ca, cb), max(ca, cb)))
+
+        def grow() -> None:
+            """The bucket is a large one from here on."""
+            nonlocal large, nodes
+            large = True
+            out.extend((key0, None, c, k) for c, k in nodes)
+            nodes = []
 
-        key0, nodes, large, last = None, [], False, None  # the bucket that may go on in the next batch
         for batch in batches:
-            key, cls, n = (batch.column(k).to_numpy() for k in range(3))
+            key, n = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             if not len(key):
                 continue
-            first = np.ones(len(key), dtype=bool)
-            first[1:] = key[1:] != key[:-1]
-            starts = np.flatnonzero(first)
+            marked = batch.column(1).null_count > 0
+            cls = batch.column(1).to_pylist() if marked else batch.column(1).to_numpy()
+            change = np.ones(len(key), dtype=bool)
+            change[1:] = key[1:] != key[:-1]
+            starts = np.flatnonzero(change)
             sizes = np.diff(np.append(starts, len(key)))
-            out_big, out_a, out_b = [], [], []
-
-            def close(last):
-                if last is not None and not large:
-                    for x in range(len(nodes)):
-                        for y in range(x + 1, len(nodes)):
-                            (ca, na), (cb, nb) = nodes[x], nodes[y]
-                            if min(na, nb) >= similarity * max(na, nb):
-                                out_big.append(None)
-                                out_a.append(min(ca, cb))
-                                out_b.append(max(ca, cb))
-
             # single-row buckets within the batch need no work
             inner = (sizes > 1) | (np.arange(len(starts)) == len(starts) - 1) | (np.arange(len(starts)) == 0)
             for s, size in zip(starts[inner].tolist(), sizes[inner].tolist(), strict=True):
                 k = int(key[s])
                 if k != key0:
-                    close(key0)
-                    key0, nodes, large = k, [], False
+                    close(key0 == first_key)
+                    first_key = k if first_key is None else first_key
+                    key0, nodes, large, last = k, [], False, None
                 for j in range(s, s + size):
+                    if cls[j] is None:
+                        if not large:
+                            grow()
+                        continue
                     c = int(cls[j])
-                    if not large:
-                        if nodes and nodes[-1][0] == c:
-                            continue
-                        nodes.append((c, int(n[j])))
-                        if len(nodes) > limit:
-                            large = True
-                            out_big += [key0] * len(nodes)
-                            out_a += [x for x, _ in nodes]
-                            out_b += [y for _, y in nodes]
-                            nodes = []
-                            last = c
-                    elif c != last:
-                        last = c
-                        out_big.append(key0)
-                        out_a.append(c)
-                        out_b.append(int(n[j]))
-            if out_a:
-                yield emit(out_big, out_a, out_b)
-        out_big, out_a, out_b = [], [], []
-        if key0 is not None and not large:
-            for x in range(len(nodes)):
-                for y in range(x + 1, len(nodes)):
-                    (ca, na), (cb, nb) = nodes[x], nodes[y]
-                    if min(na, nb) >= similarity * max(na, nb):
-                        out_big.append(None)
-                        out_a.append(min(ca, cb))
-                        out_b.append(max(ca, cb))
-        if out_a:
-            yield emit(out_big, out_a, out_b)
+                    if c == last:
+                        continue
+                    last = c
+                    if large:
+                        out.append((key0, None, c, int(n[j])))
+                        continue
+                    nodes.append((c, int(n[j])))
+                    if len(nodes) > limit:
+                        grow()
+            if out:
+                yield emit(out)
+                out.clear()
+        close(True)
+        if out:
+            yield emit(out)
 
     return run
 
 
 def _meetings(keyed: DataFrame, similarity: float, limit: int) -> DataFrame:
-    """``(big, a, b)``: pairs of classes that share a small bucket, or (key, class, size) of large ones."""
-    runs = keyed.repartition(F.col("key")).sortWithinPartitions("key", "cls")
-    return runs.mapInArrow(_pairs_of_runs(similarity, limit), "big bigint, a bigint, b bigint")
+    """``(big, a, b)``: pairs of classes that share a small bucket, or (key, class, size) of large ones.
+
+    Rows are split by ranges of (key, class), so that one key of any share of the rows is spread
+    over tasks; buckets cut by a range's end, at most two of ``limit`` rows a task, are put together again.
+    """
+    schema = "big bigint, edge bigint, a bigint, b bigint"
+    runs = keyed.select("key", "cls", F.col("n").cast("bigint").alias("n")).repartitionByRange(F.col("key"), F.col("cls")).sortWithinPartitions("key", "cls")
+    met = cut_lineage(runs.mapInArrow(_pairs_of_runs(similarity, limit, False), schema))
+    edges = met.where("edge is not null").select(F.col("edge").alias("key"), F.col("a").alias("cls"), F.col("b").alias("n"))
+    # the null class, if there is one, comes first
+    rest = edges.repartition(F.col("key")).sortWithinPartitions("key", F.asc_nulls_first("cls")).mapInArrow(_pairs_of_runs(similarity, limit, True), schema)
+    return met.where("edge is null").unionByName(rest).select("big", "a", "b")
 
 
 def _sets_of(df: DataFrame, members: DataFrame, nodes: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
@@ -287,39 +302,57 @@ def _similarity(weighted: bool):
     def prob(xi, xc, yi, yc):
         import pandas as pd
 
-        out = []
-        for a, ca, b, cb in zip(xi, xc, yi, yc, strict=True):
-            out.append(probability_jaccard(dict(zip(a, ca, strict=True)), dict(zip(b, cb, strict=True))))
-        return pd.Series(out, dtype="float64")
+        return pd.Series([probability_jaccard(*z) for z in zip(xi, xc, yi, yc, strict=True)], dtype="float64")
 
     return prob("x_items", "x_counts", "y_items", "y_counts")
 
 
-def probability_jaccard(a: dict, b: dict) -> float:
-    """Exact probability Jaccard similarity of two weighted sets."""
-    both = [k for k in a if k in b]
-    total = 0.0
-    for k in both:
-        total += 1.0 / (sum(max(a.get(j, 0) / a[k], b.get(j, 0) / b[k]) for j in {**a, **b}))
-    return total
-
+def probability_jaccard(items_x, counts_x, items_y, counts_y) -> float:
+    """Exact probability Jaccard similarity of two weighted sets, given as distinct items and their weights.
 
-def _large_bucket_pairs(big: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    The sum over shared items of ``1 / sum_j max(x_j / x_i, y_j / y_i)``. By rising ``y / x`` the
+    inner sums are prefix sums of y's and x's weights, so the work is that of a sort.
+    """
+    items, at = np.unique(np.concatenate([items_x, items_y]), return_inverse=True)
+    w = np.zeros((2, len(items)))
+    np.add.at(w[0], at[: len(items_x)], np.asarray(counts_x, dtype=np.float64))
+    np.add.at(w[1], at[len(items_x) :], np.asarray(counts_y, dtype=np.float64))
+    with np.errstate(divide="ignore"):
+        order = np.argsort(w[1] / w[0], kind="stable")
+    x, y = w[:, order]
+    both = (x > 0) & (y > 0)
+    if not both.any():
+        return 0.0
+    inner = np.cumsum(x)[both] / x[both] + (y.sum() - np.cumsum(y))[both] / y[both]
+    return float((1.0 / inner).sum())
+
+
+def _large_bucket_pairs(big: DataFrame, sets: DataFrame, similarity: float, weighted: bool, block: int) -> DataFrame:
     """Exact candidates among the nodes of large buckets by a prefix filter on rare shingles.
 
-    Two sets of similarity at least s share one of the first ``n - ceil(s n) + 1`` shingles of
-    any common order; by rising frequency these prefixes meet rarely. Holds for sets; for
-    weighted shingles the threshold on the sets is taken as a quarter of the similarity.
+    No similarity exceeds the share that the shared shingles have of either text's weight. So if
+    two texts reach ``similarity``, and each keeps the first of its shingles in one common order
+    until those left weigh less than that share, they keep one in common: else all shared ones
+    would be among those left of the text whose kept part ends first. By rising frequency the kept
+    parts meet rarely; a shingle that more than ``block`` texts keep is met block by block.
     """
     nodes = big.select(F.col("a").alias("cls")).distinct()
-    items = sets.join(nodes, "cls", "left_semi").select("cls", F.size("items").alias("n"), F.explode("items").alias("item"))
+    weight = F.col("e.count") if weighted else F.lit(1)
+    items = sets.join(nodes, "cls", "left_semi").select("cls", F.size("items").alias("n"), F.explode(F.arrays_zip(F.col("items").alias("item"), F.col("counts").alias("count"))).alias("e")).select("cls", "n", F.col("e.item").alias("item"), weight.cast("double").alias("w"))
     df = items.groupBy("item").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = items.join(df, "item", "left").groupBy("cls", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "item"))).alias("order"))
-    keep = (F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9) + 1).cast("int")
-    prefix = ranked.select("cls", "n", F.explode(F.slice("order", 1, F.greatest(keep, F.lit(1)))).alias("o")).where("o.df > 0").select("cls", "n", F.col("o.item").alias("item"))
-    x, y = prefix.alias("x"), prefix.alias("y")
-    ok = (F.col("x.cls") < F.col("y.cls")) & (F.least("x.n", "y.n") >= F.lit(similarity) * F.greatest("x.n", "y.n"))
-    return x.join(y, (F.col("x.item") == F.col("y.item")) & ok).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
+    ranked = items.join(df, "item", "left").groupBy("cls", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "item", "w"))).alias("order"), F.sum("w").alias("all"))
+    # kept as long as a shingle and those behind it weigh enough; the fold stops counting where they don't
+    enough = F.lit(similarity - 1e-9) * F.col("all")
+    count = F.aggregate("order", F.struct(F.col("all").alias("rest"), F.lit(0).alias("k")), lambda a, e: F.struct((a["rest"] - e["w"]).alias("rest"), (a["k"] + F.when(a["rest"] >= enough, 1).otherwise(0)).alias("k")), lambda a: a["k"])
+    prefix = ranked.select("cls", "n", F.explode(F.slice("order", F.lit(1), count)).alias("o")).where("o.df > 0").select("cls", "n", F.col("o.item").alias("item"))
+    # a shingle kept by many is split: each text meets its own block and those of higher number
+    often = prefix.groupBy("item").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    prefix = prefix.join(often.where("blocks > 1"), "item", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    x = prefix.select("item", F.col("cls").alias("cx"), F.col("n").alias("nx"), F.col("block").alias("bx"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("by"))
+    y = prefix.select("item", F.col("cls").alias("cy"), F.col("n").alias("ny"), F.col("block").alias("by"), F.explode(F.sequence(F.lit(0), F.col("block"))).alias("bx"))
+    ok = F.col("cx") != F.col("cy") if weighted else (F.col("cx") != F.col("cy")) & (F.least("nx", "ny") >= F.lit(similarity) * F.greatest("nx", "ny"))
+    met = x.join(y, ["item", "bx", "by"]).where(ok & (F.expr("bx < by") | F.expr("cx < cy")))
+    return met.select(F.least("cx", "cy").alias("a"), F.greatest("cx", "cy").alias("b")).distinct()
 
 
 def near_duplicate_classes(
@@ -333,6 +366,7 @@ def near_duplicate_classes(
     weighted: bool = False,
     bucket_limit: int = BUCKET_LIMIT,
     matches: int = MATCHES,
+    block: int = BLOCK,
 ) -> tuple[DataFrame, DataFrame]:
     """``members (id, cls, n, content)`` and ``links (a, b, similarity)`` between different classes.
 
@@ -344,8 +378,8 @@ def near_duplicate_classes(
     sig = cut_lineage(signatures(df, id_col, text_col, words, bands, rows, weighted))
     members = sig.select("id", "cls", "n", "content")
     keyed = sig.where(F.size("keys") > 0).select(F.explode("keys").alias("key"), "cls", "n")
-    low = similarity if not weighted else similarity / 4
-    met = cut_lineage(_meetings(keyed, low, bucket_limit))
+    low = similarity if not weighted else 0.0  # sizes say nothing about weights
+    met = _meetings(keyed, low, bucket_limit)
     once = met.where("big is null").groupBy("a", "b").agg(F.count("*").alias("c"))
     crowd = met.where("big is not null").select("big", F.col("a").alias("cls"), F.col("b").cast("int").alias("n"))
     pairs = once.where(F.col("c") >= matches).select("a", "b")
@@ -358,7 +392,7 @@ def near_duplicate_classes(
         # or all its meetings were in large ones: buckets of two large buckets each are far smaller
         own = crowd.groupBy("cls", "n").agg(F.array_sort(F.collect_set("big")).alias("ks")).where(F.size("ks") > 1)
         two = own.select("cls", "n", F.posexplode("ks").alias("i", "k"), "ks").select("cls", "n", "k", F.explode(F.slice("ks", F.col("i") + 2, F.size("ks"))).alias("k2"))
-        again = cut_lineage(_meetings(two.select(F.xxhash64("k", "k2").alias("key"), "cls", "n"), low, bucket_limit))
+        again = _meetings(two.select(F.xxhash64("k", "k2").alias("key"), "cls", "n"), low, bucket_limit)
         pairs = pairs.union(half).union(again.where("big is null").select("a", "b")).distinct()
         big = again.where("big is not null").select("a")
         if big.isEmpty():
@@ -370,7 +404,7 @@ def near_duplicate_classes(
     sets = _sets_of(df, members, nodes.distinct(), id_col, text_col, words)
     if big is not None:
         sets = cut_lineage(sets)
-        pairs = pairs.union(_large_bucket_pairs(big, sets, low)).distinct()
+        pairs = pairs.union(_large_bucket_pairs(big, sets, similarity, weighted, block)).distinct()
     xs = sets.select(F.col("cls").alias("a"), F.col("items").alias("x_items"), F.col("counts").alias("x_counts"))
     ys = sets.select(F.col("cls").alias("b"), F.col("items").alias("y_items"), F.col("counts").alias("y_counts"))
     links = pairs.join(xs, "a").join(ys, "b").select("a", "b", _similarity(weighted).alias("similarity")).where(F.col("similarity") >= similarity)
@@ -420,7 +454,8 @@ def components(links: DataFrame, max_rounds: int = 50) -> DataFrame:
     """``(node, root)`` of every node of ``(a, b)`` links, by alternating large and small stars.
 
     Each round is two shuffles on the links and a cut of the lineage; the number of rounds grows
-    with the logarithm of the longest chain. No link reaches the driver.
+    with the logarithm of the longest chain. No link reaches the driver. Links that ``max_rounds``
+    don't settle are an error, not a partial result.
     """
     e = cut_lineage(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     for _ in range(max_rounds):
@@ -435,15 +470,17 @@ def components(links: DataFrame, max_rounds: int = 50) -> DataFrame:
         e = new
         if same:
             break
+    else:
+        raise RuntimeError(f"components: not settled after {max_rounds} rounds")
     roots = e.groupBy("u").agg(F.min("v").alias("root"))
     return roots.select(F.col("u").alias("node"), "root").union(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
 def near_duplicate_groups(members: DataFrame, links: DataFrame) -> DataFrame:
-    """One row per row id: ``(id, group_id, n_links)``.
+    """One row per row id: ``(id, cls, group_id, n_links)``.
 
-    ``group_id`` is the smallest id of the connected group, ``n_links`` the number of other
-    classes the row's class is linked to.
+    ``cls`` is the class of equal shingle sets, ``group_id`` the smallest id of the connected
+    group, ``n_links`` the number of other classes the row's class is linked to.
     """
     links = cut_lineage(links.select("a", "b"))
     root = components(links)
@@ -451,4 +488,4 @@ def near_duplicate_groups(members: DataFrame, links: DataFrame) -> DataFrame:
     m = members.select("id", "cls").distinct().join(root.withColumnRenamed("node", "cls"), "cls", "left").join(degree, "cls", "left")
     m = m.withColumn("root", F.coalesce("root", "cls"))
     first = m.groupBy("root").agg(F.min("id").alias("group_id"))
-    return m.join(first, "root").select("id", "group_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+    return m.join(first, "root").select("id", "cls", "group_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))

@@ -30,10 +30,10 @@ def corpus():
     return rows
 
 
-@pytest.mark.parametrize("limit", [64, 2])
-def test_pairs_equal_brute_force(spark, corpus, limit):
+@pytest.mark.parametrize("limit,block", [(64, 1024), (2, 1024), (2, 3)])
+def test_pairs_equal_brute_force(spark, corpus, limit, block):
     df = spark.createDataFrame(corpus, "id bigint, content string").withColumn("cls", F.lit("clash")).repartition(3)
-    members, links = neardup.near_duplicate_classes(df, words=3, similarity=0.6, bucket_limit=limit)
+    members, links = neardup.near_duplicate_classes(df, words=3, similarity=0.6, bucket_limit=limit, block=block)
     got = [(r["id_a"], r["id_b"]) for r in neardup.near_duplicate_pairs(members, links).collect()]
     assert len(got) == len(set(got))
     texts = dict(corpus)
@@ -44,6 +44,8 @@ def test_pairs_equal_brute_force(spark, corpus, limit):
     assert set(got) == want
     full = {(r["id_a"], r["id_b"]) for r in neardup.near_duplicate_pairs(members, links, expand=100).collect()}
     assert len(full - want) == 69 * 70 // 2 - 69
+    rows = neardup.near_duplicate_groups(members, links).collect()
+    assert len({r["cls"] for r in rows if r["id"] >= 1000}) == 1 and {r["cls"] for r in rows} == {r["cls"] for r in members.collect()}
     groups = {r["id"]: r["group_id"] for r in neardup.near_duplicate_groups(members, links).collect()}
     assert set(groups) == set(sets) and {groups[1000 + j] for j in range(70)} == {1000}
     assert all(groups[a] == groups[b] for a, b in want)
@@ -78,11 +80,40 @@ def test_registers_estimate_the_probability_jaccard():
     doc = np.array([0] * len(a) + [1] * len(b))
     item = np.array([*a, *b], dtype=np.uint64)
     sig = neardup.prob_minhash(doc, item, np.array([*a.values(), *b.values()]), 2, m)
-    assert abs((sig[0] == sig[1]).mean() - neardup.probability_jaccard(a, b)) < 0.04
+    assert abs((sig[0] == sig[1]).mean() - neardup.probability_jaccard([*a], [*a.values()], [*b], [*b.values()])) < 0.04
     doubled = neardup.prob_minhash(np.zeros(len(a), int), np.array([*a], dtype=np.uint64), np.array([*a.values()]) * 2, 1, m)
     assert (doubled[0] == sig[0]).mean() > 0.99  # only proportions count
 
 
+def test_probability_jaccard_by_its_definition():
+    r = random.Random(2)
+    for _ in range(50):
+        a, b = ({r.randrange(12): r.randint(1, 9) for _ in range(r.randint(1, 8))} for _ in range(2))
+        want = sum(1 / sum(max(a.get(j, 0) / a[i], b.get(j, 0) / b[i]) for j in {**a, **b}) for i in a if i in b)
+        assert abs(neardup.probability_jaccard([*a], [*a.values()], [*b], [*b.values()]) - want) < 1e-12
+
+
+def test_weighted_pairs_in_large_buckets(spark):
+    # one heavy shared shingle among many light ones: the sets are unlike, the weighted texts alike
+    rows = [(k, "a b c " * 200 + " ".join(f"t{k}x{j}" for j in range(20))) for k in range(6)] + [(9, "q r s t u v w")]
+    df = spark.createDataFrame(rows, "id bigint, content string")
+    members, links = neardup.near_duplicate_classes(df, words=3, similarity=0.8, weighted=True, bucket_limit=2)
+    assert len(neardup.near_duplicate_pairs(members, links).collect()) == 15
+
+
+def test_a_key_of_all_rows_is_split(spark):
+    hot = spark.range(50_000).select(F.lit(7).cast("bigint").alias("key"), F.col("id").alias("cls"), F.lit(10).alias("n"))
+    few = spark.createDataFrame([(1, 1, 10), (1, 2, 10), (3, 5, 10), (9, 5, 10), (9, 6, 3), (9, 7, 9)], "key bigint, cls bigint, n int")
+    met = neardup._meetings(hot.union(few), 0.6, 64)
+    assert met.where("big = 7").count() == 50_000 and met.where("big = 7").select("a").distinct().count() == 50_000
+    assert sorted((r["a"], r["b"]) for r in met.where("big is null").collect()) == [(1, 2), (5, 7)]
+
+
+def test_components_that_do_not_settle(spark):
+    with pytest.raises(RuntimeError):
+        neardup.components(spark.createDataFrame([(k, k + 1) for k in range(60)], "a bigint, b bigint"), max_rounds=1)
+
+
 def test_weighted_shingles(spark):
     rows = [(1, "a b c " * 10 + "d e f g h"), (2, "a b c " * 10 + "d e f g i"), (3, "q r s t u v w")]
     df = spark.createDataFrame(rows, "id bigint, content string")

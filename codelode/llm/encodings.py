@@ -36,10 +36,11 @@ CONFUSED = tuple(
 UTF8_STEP, SWAP_STEP, WIDE_STEP, UNESCAPE_STEP = 0.9, 1.6, 1.4, 0.9
 #: A token is searched only if stopping at once costs more than this; no path could pay off below it.
 PLAUSIBLE = 1.0
-#: States expanded per token. The cheapest restored text lies at most three steps away.
-MAX_DEPTH, MAX_STATES = 3, 400
-#: Tokens are cut at so many characters for the search only; a text is always processed whole.
-PART = 400
+#: The space searched: texts at most three steps away, over steps that make a text no more than
+#: ``WORSE`` less plausible. A search that expands ``MAX_STATES`` states without an end is reported.
+MAX_DEPTH, WORSE, MAX_STATES = 3, 6.0, 400
+#: From this length on, equal neighbours are priced once and counted.
+LONG = 48
 
 TOKEN = re.compile(r"[^ \t\r\n\f\v]*[^\x00-\x7f][^ \t\r\n\f\v]*")
 BACKTICKS = re.compile(r"```.*?```|``.*?``|`[^`\n]*`", re.S)
@@ -106,77 +107,98 @@ _SCRIPT = {"U": 1, "l": 1, "L": 1, "i": 1, "R": 2, "r": 2, "G": 3, "g": 3, "j":
 _UPPER, _LOWER, _LETTER = set("ULRG"), set("lirg"), set("UlLiRrGgjkx")
 
 
+class _Pairs(dict):
+    """What a character costs behind another one (or none), itself included."""
+
+    def __missing__(self, pair: tuple[str, str]) -> float:
+        if len(self) > 500_000:
+            self.clear()
+        self[pair] = x = _pair_cost(*pair)
+        return x
+
+
+_PAIR = _Pairs()
+
+
+def _pair_cost(pc: str, c: str) -> float:
+    k, total = char_class(c)
+    if not pc or pc < "\x80" and c < "\x80":
+        return total
+    prev = char_class(pc)[0]
+    if pc + c in TRIGGERS:
+        total += 1.0
+    elif pc in "ÂÃÐÑ" and k not in _LETTER and c >= "\x80":
+        total += 1.6
+    if prev in "Li" and k in "Li":
+        total += 0.35
+    if prev in _LETTER and k in _LETTER:
+        if _SCRIPT[prev] != _SCRIPT[k]:
+            total += 1.6
+        elif k in _UPPER and prev in _LOWER:
+            total += 1.6
+        elif pc in "ÂÃÐÑÅÄĂĹŃ" and k in _LOWER and c >= "\x80":
+            total += 0.8
+    elif prev in _LETTER and k in "sb":
+        total += 1.6
+    elif prev in "sb" and k in "sb" and c != pc and (prev != k or k == "s"):
+        total += 0.7
+    elif prev == "b" and k in _LETTER:
+        total += 1.2
+    elif prev == "s" and k in _LETTER and pc in "‚ƒ√¬¦¤¢†‡‰":
+        total += 1.2
+    elif prev == "q" and c == "¿":
+        total += 1.6
+    elif prev in _LETTER and k == "n" and prev in "LRGb":
+        total += 1.2
+    elif prev == "C" or k == "C":
+        total += 0.4
+    return total
+
+
 def cost(text: str) -> float:
     """Implausibility of a token: rare characters, and neighbours that don't go together."""
-    total, prev, pc = 0.0, "", ""
-    for c in text:
-        k, own = char_class(c)
-        total += own
-        if prev:
-            plain = pc < "\x80" and c < "\x80"
-            if not plain:
-                if pc + c in TRIGGERS:
-                    total += 1.0
-                elif pc in "ÂÃÐÑ" and k not in _LETTER and c >= "\x80":
-                    total += 1.6
-                if prev in "Li" and k in "Li":
-                    total += 0.35
-                if prev in _LETTER and k in _LETTER:
-                    if _SCRIPT[prev] != _SCRIPT[k]:
-                        total += 1.6
-                    elif k in _UPPER and prev in _LOWER:
-                        total += 1.6
-                    elif pc in "ÂÃÐÑÅÄĂĹŃ" and k in _LOWER and c >= "\x80":
-                        total += 0.8
-                elif prev in _LETTER and k in "sb":
-                    total += 1.6
-                elif prev in "sb" and k in "sb" and c != pc and (prev != k or k == "s"):
-                    total += 0.7
-                elif prev == "b" and k in _LETTER:
-                    total += 1.2
-                elif prev == "s" and k in _LETTER and pc in "‚ƒ√¬¦¤¢†‡‰":
-                    total += 1.2
-                elif prev == "q" and c == "¿":
-                    total += 1.6
-                elif prev in _LETTER and k == "n" and prev in "LRGb":
-                    total += 1.2
-                elif prev == "C" or k == "C":
-                    total += 0.4
-        prev, pc = k, c
-    return total
+    pairs = zip(" " + text[:-1], text) if text else ()
+    if len(text) < LONG:
+        return sum(map(_PAIR.__getitem__, pairs))
+    return sum(n * _PAIR[p] for p, n in Counter(pairs).items())
+
+
+class _Bytes(dict):
+    """Number of a character to that of the byte that a codec shows as it, ``other`` for characters it never shows.
+
+    Bytes the codec leaves undefined stand for the control of their number.
+    """
+
+    def __init__(self, codec: str, other: int):
+        super().__init__()
+        self.other = other
+        for b in range(256):
+            try:
+                self.setdefault(ord(bytes([b]).decode(codec)), b)
+            except UnicodeDecodeError:
+                self.setdefault(b, b)
+
+    def __missing__(self, c: int) -> int:
+        return self.other
 
 
 @lru_cache(maxsize=None)
-def _table(codec: str) -> dict[str, int]:
-    """Character to byte; bytes the codec leaves undefined stand for the control of their number."""
-    out = {}
-    for b in range(256):
-        try:
-            out.setdefault(bytes([b]).decode(codec), b)
-        except UnicodeDecodeError:
-            out.setdefault(chr(b), b)
-    return out
+def _table(codec: str, other: int) -> _Bytes:
+    return _Bytes(codec, other)
 
 
 def _bytes(text: str, codec: str) -> bytes | None:
-    t = _table(codec)
     try:
-        return bytes([t[c] for c in text])
-    except KeyError:
+        return text.translate(_table(codec, 0x100)).encode("latin-1")
+    except UnicodeEncodeError:
         return None
 
 
 def _through_utf8(text: str, codec: str) -> str | None:
     """UTF-8 sequences among the characters' bytes decoded; characters outside them stay."""
-    t = _table(codec)
-    raw = bytearray()
-    for c in text:
-        b = t.get(c)
-        raw.append(0x1A if b is None else b)
-    if not UTF8_SEQUENCE.search(raw):
-        return None
+    raw = text.translate(_table(codec, 0x1A)).encode("latin-1")
     out, at = [], 0
-    for m in UTF8_SEQUENCE.finditer(bytes(raw)):
+    for m in UTF8_SEQUENCE.finditer(raw):
         try:
             seen = m.group().decode("utf-8")
         except UnicodeDecodeError:
@@ -184,6 +206,8 @@ def _through_utf8(text: str, codec: str) -> str | None:
         out.append(text[at : m.start()])
         out.append(seen)
         at = m.end()
+    if not out:
+        return None
     out.append(text[at:])
     return "".join(out)
 
@@ -216,23 +240,22 @@ def steps(text: str) -> Iterator[tuple[str, float, str]]:
             yield "unescape", UNESCAPE_STEP, new
 
 
-@lru_cache(maxsize=200_000)
-def restore_token(token: str) -> tuple[str, tuple[str, ...]]:
-    """The cheapest text reachable from ``token`` and the path to it (empty: it stays)."""
+def search(token: str) -> tuple[str, tuple[str, ...], bool]:
+    """The cheapest text reachable from ``token``, the path to it (empty: it stays), and whether the search came to its end."""
     start = cost(token)
     if start <= PLAUSIBLE:
-        return token, ()
+        return token, (), True
     best, best_text, best_path = start, token, ()
     heap = [(start, 0, 0.0, token, ())]
     seen = {hash(token)}
     n = 0
-    while heap and n < MAX_STATES:
+    while heap:
         reach, _, paid, text, path = heapq.heappop(heap)
-        if paid >= best:
+        if paid >= best or len(path) == MAX_DEPTH:
             continue
+        if n == MAX_STATES:
+            return best_text, best_path, False
         n += 1
-        if len(path) == MAX_DEPTH:
-            continue
         for name, price, new in steps(text):
             h = hash(new)
             if h in seen:
@@ -241,13 +264,18 @@ def restore_token(token: str) -> tuple[str, tuple[str, ...]]:
             stop = paid + price + cost(new)
             if stop < best - 1e-9:
                 best, best_text, best_path = stop, new, (*path, name)
-            if paid + price < best and stop < reach + 6:
-                heapq.heappush(heap, (stop, n, paid + price, new, (*path, name)))
-    return best_text, best_path
+            if paid + price < best and stop < reach + WORSE:
+                heapq.heappush(heap, (stop, len(seen), paid + price, new, (*path, name)))
+    return best_text, best_path, True
+
 
+#: Results of tokens met before; long ones hardly come back, and would fill the memory.
+_kept = lru_cache(maxsize=200_000)(search)
 
-def _parts(token: str) -> list[str]:
-    return [token[k : k + PART] for k in range(0, len(token), PART)] if len(token) > PART else [token]
+
+def restore_token(token: str) -> tuple[str, tuple[str, ...], bool]:
+    """``search``, looked up where the token was met before."""
+    return _kept(token) if len(token) <= 200 else search(token)
 
 
 def _apply(token: str, path: tuple[str, ...]) -> str | None:
@@ -270,17 +298,17 @@ def _apply(token: str, path: tuple[str, ...]) -> str | None:
     return token
 
 
-def restore(text: str | None) -> tuple[str | None, int, int]:
-    """(restored text, places with wrong characters outside backticks, places with losses).
+def restore(text: str | None) -> tuple[str | None, int, int, int]:
+    """(restored text, places with wrong characters outside backticks, places with losses, searches cut off).
 
     A place is a token (a run without ASCII white space). A token is wrong if a cheaper text is
     reachable from it, or if it shows U+FFFD or a C1 control. Losses can't be undone: they stay
     and are counted. Tokens too short to tell by themselves follow the path that most wrong
     tokens of the same text took, where that makes them no less plausible. Quoted spans between
-    backticks stay as they are. Null gives (null, 0, 0).
+    backticks stay as they are. Null gives (null, 0, 0, 0).
     """
     if text is None or text.isascii():
-        return text, 0, 0
+        return text, 0, 0, 0
     quoted = [m.span() for m in BACKTICKS.finditer(text)] if "`" in text else []
     spans, at = [], 0
     for a, b in quoted:
@@ -290,25 +318,23 @@ def restore(text: str | None) -> tuple[str | None, int, int]:
     found: list[tuple[int, int, str, tuple[str, ...]]] = []
     quiet: list[tuple[int, int, str]] = []
     paths: Counter = Counter()
-    wrong = lost = 0
+    wrong = lost = cut = 0
     for lo, hi in spans:
         for m in TOKEN.finditer(text, lo, hi):
             token = m.group()
-            new, path = [], []
-            for part in _parts(token):
-                t, p = restore_token(part)
-                new.append(t)
-                path += [p] if p else []
+            new, path, ended = restore_token(token)
+            cut += not ended
             loss = "�" in token
             if path or loss or any("\x80" <= c <= "\x9f" for c in token):
                 wrong += 1
-                lost += loss or "�" in "".join(new)
-                found.append((m.start(), m.end(), "".join(new), path[0] if path else ()))
-                paths.update(path)
+                lost += loss or "�" in new
+                found.append((m.start(), m.end(), new, path))
+                if path:
+                    paths[path] += 1
             else:
                 quiet.append((m.start(), m.end(), token))
     if not wrong:
-        return text, 0, 0
+        return text, 0, 0, cut
     if paths:
         path, votes = paths.most_common(1)[0]
         if votes * 2 > sum(paths.values()):
@@ -323,11 +349,13 @@ def restore(text: str | None) -> tuple[str | None, int, int]:
         out.append(new)
         at = b
     out.append(text[at:])
-    return "".join(out), wrong, lost
+    return "".join(out), wrong, lost, cut
 
 
 def restore_encoding(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", only_wrong: bool = True) -> DataFrame:
-    """``(id, text, n_places, n_lost)``: texts with wrong characters, restored where nothing was lost.
+    """``(id, text, n_places, n_lost, n_cut)``: texts with wrong characters, restored where nothing was lost.
+
+    ``n_cut`` counts places whose search expanded ``MAX_STATES`` states without coming to its end.
 
     With ``only_wrong=False`` every row comes out. Null texts stay null with no places; empty
     texts stay empty. Repeated rows stay repeated; other columns don't take part.
@@ -336,20 +364,21 @@ def restore_encoding(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if only_wrong:
         src = src.where(F.col("__t").rlike("[^\\x00-\\x7f]"))  # plain ASCII shows no wrong character
     schema = T.StructType(
-        [T.StructField(id_col, src.schema["__id"].dataType), T.StructField("text", T.StringType()), T.StructField("n_places", T.IntegerType()), T.StructField("n_lost", T.IntegerType())]
+        [T.StructField(id_col, src.schema["__id"].dataType), T.StructField("text", T.StringType()), T.StructField("n_places", T.IntegerType()), T.StructField("n_lost", T.IntegerType()), T.StructField("n_cut", T.IntegerType())]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, texts, places, lost = [], [], [], []
+            keep, texts, places, lost, cut = [], [], [], [], []
             for k, t in enumerate(batch.column(1).to_pylist()):
-                new, n, gone = restore(t)
+                new, n, gone, short = restore(t)
                 if n or not only_wrong:
                     keep.append(k)
                     texts.append(new)
                     places.append(n)
                     lost.append(gone)
+                    cut.append(short)
             ids = batch.column(0).take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(texts, pa.string()), pa.array(places, pa.int32()), pa.array(lost, pa.int32())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(texts, pa.string()), pa.array(places, pa.int32()), pa.array(lost, pa.int32()), pa.array(cut, pa.int32())], names=schema.names)
 
     return spread(src).mapInArrow(run, schema)

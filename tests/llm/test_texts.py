@@ -126,22 +126,35 @@ BAD = [("utf-8", "cp1252", "L’été déjà – señor"), ("utf-8", "latin-1",
 
 @pytest.mark.parametrize("text", GOOD)
 def test_good_texts_stay(text):
-    assert encodings.restore(text) == (text, 0, 0)
+    assert encodings.restore(text) == (text, 0, 0, 0)
 
 
 @pytest.mark.parametrize("real,shown,text", BAD)
 def test_bad_texts_come_back(real, shown, text):
-    table = {b: c for c, b in encodings._table(shown).items()}
+    table = {b: chr(c) for c, b in encodings._table(shown, 0x100).items()}
     wrong = "".join(table[b] for b in text.encode(real))
-    new, n, lost = encodings.restore(wrong)
-    assert n > 0 and lost == 0 and new == text
+    new, n, lost, cut = encodings.restore(wrong)
+    assert n > 0 and lost == cut == 0 and new == text
+
+
+@pytest.mark.parametrize("real,shown", [("utf-8", "latin-1"), ("cp932", "latin-1"), ("euc_jp", "latin-1")])
+def test_long_tokens_come_back_whole(real, shown):
+    text = ("これは長い日本語の文章です。検索の索引を作り、結果を返します。" * 400)[:3400]
+    wrong = text.encode(real).decode(shown)
+    assert len(wrong) >= 6800 and encodings.restore(wrong) == (text, 1, 0, 0)
+    assert encodings.restore("x" * 1001 + wrong)[0] == "x" * 1001 + text
+
+
+def test_cost_counts_equal_neighbours():
+    for t in ("", "a", "Ã¤", "cafÃ© " * 30, "これは、" * 40 + "ä–x"):
+        assert abs(encodings.cost(t) - sum(encodings._pair_cost(a, b) for a, b in zip(" " + t[:-1], t) if t)) < 1e-9
 
 
 def test_twice_and_losses(spark):
     twice = "café – naïve".encode().decode("cp1252").encode().decode("cp1252")
     assert encodings.restore(twice)[0] == "café – naïve"
-    assert encodings.restore("don�t") == ("don�t", 1, 1)
-    assert encodings.restore("only `�` quoted") == ("only `�` quoted", 0, 0)
+    assert encodings.restore("don�t") == ("don�t", 1, 1, 0)
+    assert encodings.restore("only `�` quoted") == ("only `�` quoted", 0, 0, 0)
     rows = [(1, twice), (2, None), (3, ""), (4, "plain"), (5, "x�"), (5, "x�"), (6, "cafÃ© " * 5000)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("n_lost", F.lit("clash"))
     assert sorted(r["doc_id"] for r in encodings.restore_encoding(df).collect()) == [1, 5, 5, 6]

@@ -194,3 +194,20 @@ def test_not_hand_written(spark, ext):
     got = {r["file_path"]: r["reason"] for r in generated.not_hand_written(df, ext).collect()}
     assert got == {p: why for p, _, why in rows if why}
     assert generated.not_hand_written(df.where("false"), ext).count() == 0
+
+
+def test_uniform_code_without_a_note(spark, ext):
+    getters = "class A:\n" + "".join(f"    def get_{k}(self):\n        return self._{k}\n\n" for k in range(40))
+    hand = "".join(f"def f{k}(a, b):\n    x = a {'+-*/'[k % 4]} {k}\n" + ("    if x > b:\n        return g(x)\n" if k % 3 else "    for y in b:\n        x += y\n") + ("    h(x, y=1)\n" if k % 5 < 2 else "") + "    return x\n\n" for k in range(30))
+    packed = ";".join(f"a{k}=b(c[{k}])" for k in range(200))
+    rows = [("/p/g.py", getters), ("/p/h.py", hand), ("/p/m.py", packed + "\n"), ("/p/k.go", None)] + [("/p/many.go", f"func (t *T) Get{k}() int {{\n\treturn t.f{k}\n}}\n") for k in range(60)]
+    df = spark.createDataFrame(rows, "file_path string, content string")
+    got = {r["file_path"]: r for r in generated.not_hand_written(df, ext).collect()}
+    assert {p: r["reason"] for p, r in got.items()} == {"/p/g.py": "generated: shape", "/p/m.py": "minified: shape", "/p/many.go": "generated: shape"}
+    assert got["/p/g.py"]["foretold_share"] > 0.9 and got["/p/g.py"]["layout_share"] > 0.9 and got["/p/m.py"]["expansion"] == 200
+
+
+def test_canonical_lines():
+    toks = lambda t, lang: [(m.group(), k == 0 or "\n" in t[t.rfind(m.group(), 0, m.start() + 1) - 1 : m.start()]) for k, m in enumerate(grammars.language(lang).rx.finditer(t)) if m.group()[0] != "\n"]
+    assert generated.canonical(toks("for(;;){a();b=1}", "c"), "c") == ["for(;;){", "a();", "b=1}"]
+    assert generated.canonical(toks("if x: y = {1: 2}; z()", "python"), "python") == ["ifx:", "y={1:2};", "z()"]

@@ -23,9 +23,9 @@ _CBLOCK, _CLINE = r"/\*(?s:.*?)\*/", r"//[^\n]*"
 class Kinds(dict):
     """Terminal of a lexeme; a cache that starts over when it grows too large."""
 
-    def __init__(self, terminals: dict[str, int], classify):
+    def __init__(self, terminals: dict[str, int], classify, rejects=None):
         super().__init__()
-        self._t, self._classify = terminals, classify
+        self._t, self._classify, self._rejects = terminals, classify, rejects
 
     def __missing__(self, lexeme: str) -> int:
         if len(self) > 300_000:
@@ -34,6 +34,8 @@ class Kinds(dict):
         if k is None or lexeme in ("NAME", "NUM", "STR"):
             k = self._classify(lexeme)
             k = k if isinstance(k, int) else self._t.get(k, ERROR)
+        if self._rejects and self._rejects(lexeme):
+            k = ERROR
         self[lexeme] = k
         return k
 
@@ -41,10 +43,11 @@ class Kinds(dict):
 class Language:
     """A lexer and the grammars of the dialects of one language."""
 
-    def __init__(self, pattern: str, classify, grammars: list[str], flags: int = 0, layout=None, fold: bool = False):
+    def __init__(self, pattern: str, classify, grammars: list[str], flags: int = 0, layout=None, fold: bool = False, rejects=None):
         self.rx = re.compile(pattern, re.M | flags)
-        self.dialects = [Grammar(g) for g in grammars]
-        self.kinds = [Kinds(g.terminals, classify) for g in self.dialects]
+        made = {g: Grammar(g) for g in dict.fromkeys(grammars)}
+        self.dialects = [made[g] for g in grammars]
+        self.kinds = [Kinds(g.terminals, classify, no) for g, no in zip(self.dialects, rejects or [None] * len(grammars), strict=True)]
         self.layout, self.fold = layout, fold
 
     def lexemes(self, text: str) -> list[str]:
@@ -99,6 +102,10 @@ def _c_like(lexeme: str):
     return ERROR
 
 
+def _fill(text: str, slots: dict[str, str]) -> str:
+    return re.sub(r"%(\w+)%", lambda m: slots[m[1]], text)
+
+
 # ---------------------------------------------------------------- Java
 
 JAVA = r"""
@@ -168,7 +175,7 @@ arrayinit := '{' (init (',' init)*)? ','? '}'
 
 # ---------------------------------------------------------------- C
 
-C = r"""
+_C = r"""
 file := item+
 rest := (item | stmt | '}')+
 item! := ';' | decl | 'asm' '(' STR ')' ';' | '_Static_assert' '(' args ')' ';' | 'extern' STR '{' item* '}'
@@ -182,7 +189,7 @@ enums := enumc (',' enumc)* ','?
 enumc := NAME ('=' expr)?
 specs := spec+ (NAME spec*)? | NAME spec*
 decl := specs declared | ('typedef' | 'static' | 'extern' | 'const')* aggregate | NAME
-declared := ';' | inits ';' | declarator attr* (block | (specs inits ';')+ block)
+declared := ';' | inits ';' | declarator attr* (block %KR%)
 inits := init1 (',' init1)*
 init1 := declarator attr* ('=' init)?
 init := assignx | braces
@@ -214,8 +221,22 @@ postfix := primary trailer* | 'sizeof' (unary | '(' typename ')') | '_Alignof' '
 trailer := '(' args? ')' | '[' expr ']' | '.' NAME | '->' NAME | '++' | '--'
 args := arg (',' arg)*
 arg := assignx | spec+ NAME? absdecl?
-primary := NAME | NUM | STR+ | '(' expr ')' | '(' block ')' | '_Generic' '(' args ')'
+primary := NAME | NUM | STR+ | '(' expr ')' | '_Generic' '(' args ')' %GNU%
 """
+#: GNU C with its extensions and the parameter declarations of old C; and ISO C, where newer words
+#: (``bool``, attributes in double brackets, ``constexpr``) belong to the language and old ones don't.
+C = _fill(_C, {"KR": "| (specs inits ';')+ block", "GNU": "| '(' block ')'"})
+C_ISO = (
+    _fill(_C, {"KR": "", "GNU": "| 'true' | 'false' | 'nullptr'"})
+    .replace("attr := (", "attr := '[' '[' soup* ']' ']' | (")
+    .replace("spec := 'typedef' |", "spec := 'typedef' | 'bool' | 'constexpr' | 'thread_local' | 'typeof' '(' args ')' | 'alignas' '(' args ')' |")
+    .replace("| 'asm' '(' STR ')' ';' | '_Static_assert' '(' args ')' ';'", "| ('_Static_assert' | 'static_assert') '(' args ')' ';'")
+    .replace("params := param (',' param)* (',' '...')? | NAME (',' NAME)*", "params := param (',' param)* (',' '...')?")
+    .replace("stmt := block |", "stmt := attr stmt | block |")
+    .replace("cond ('...' cond)? ':'", "cond ':'")
+    .replace("'goto' '*'? expr ';'\n  | ('asm' | '__asm__') 'volatile'? '(' soup* ')' ';' | ldecl", "'goto' NAME ';' | ldecl")
+    .replace("soup := NAME |", "soup := NAME | ':' | '.' |")
+)
 
 # ---------------------------------------------------------------- JavaScript and TypeScript
 
@@ -331,11 +352,15 @@ _TYPED = {
 }
 
 
-def _fill(text: str, slots: dict[str, str]) -> str:
-    return re.sub(r"%(\w+)%", lambda m: slots[m[1]], text)
-
-
-JAVASCRIPT = _fill(_JS.replace(" (block | %NOBODY%)", " block"), _PLAIN).replace("| %INDEX%", "").replace("tailx := assop assign | ", "tailx := assop assign | ")
+#: A module may import, export and await anywhere; a script has ``with`` and, outside strict code,
+#: names that are words of the language in a module.
+JAVASCRIPT = _fill(_JS.replace(" (block | %NOBODY%)", " block"), _PLAIN).replace("| %INDEX%", "")
+JS_SCRIPT = (
+    JAVASCRIPT.replace(" | import | export | decorated ", " | 'with' '(' expr ')' sub | decorated ")
+    .replace("id := NAME |", "id := NAME | 'await' | 'yield' | 'let' |")
+    .replace("'let' | 'yield' | 'await'\n", "'with' | 'implements'\n")
+    .replace("assign := arrow | 'yield' ('*'? assign)? |", "assign := arrow | 'yield' '*' assign | 'yield' assign |")
+)
 TYPESCRIPT = _fill(_JS, _TYPED) + _TS_EXTRA
 
 # ---------------------------------------------------------------- Go
@@ -648,6 +673,9 @@ op := '<' | '>' | '<=' | '>=' | '<>' | '!=' | '==' | '~' | '!~' | '~*' | '@>' |
 op1 := '+' | '-' | '/' | '%' | '||' | '|' | '&' | '^' | '#' | '->' | '->>' | '<<' | '>>' | '?'
 """.replace("unaryx := op1*", "unaryx := ('+' | '-')*").replace("post := '::' ctype | '[' (expr? ':'? expr?) ']'", "post := '::' ctype | '[' (expr (':' expr?)? | ':' expr?) ']'").replace("file := (stmt? ';')* stmt?", "file := (stmt? ';')+ stmt? | stmt").replace("test := ('='", "test := ('='")
 
+#: Names may stand in brackets.
+TSQL = SQL.replace("name := NAME |", "name := NAME | '[' (NAME | 'key' | 'index' | 'order' | 'user' | 'group' | 'date')+ ']' |")
+
 BASH = r"""
 file := (NL | list)+
 rest := (NL | list | '}' | ')' | ';' | 'fi' | 'done' | 'esac' | ';;')+
@@ -1073,6 +1101,20 @@ def _sql_kind(lexeme: str):
     return "PARAM" if c == "?" else ERROR
 
 
+#: Lexemes that only some systems know; a dialect rejects those of the others.
+_SQL_OWN = {
+    "postgres": r"::|->>?|\$\w*\$(?s:.*)|~\*|!~|@>|<@|&&|\$\d+",
+    "mysql": r"`(?s:.*)`|<=>|@@?\w+|->>?|&&",
+    "tsql": r"@@?\w+",
+}
+
+
+def _sql_rejects(name: str):
+    """Whether a lexeme belongs to other systems than this one."""
+    own, others = re.compile(_SQL_OWN[name]), re.compile("|".join(x for n, x in _SQL_OWN.items() if n != name))
+    return lambda lexeme: bool(others.fullmatch(lexeme)) and not own.fullmatch(lexeme)
+
+
 def _bash_kind(lexeme: str):
     c = lexeme[0]
     if c == "#":
@@ -1100,8 +1142,8 @@ _BW = r"""(?:[^\s"'`$\\<>|&;()#]|(?<=[^\s;|&(])\#|\\(?s:.)|"(?:[^"\\]|\\(?s:.))*
 
 _LANGUAGES = {
     "java": lambda: Language(rf"{_CBLOCK}|{_CLINE}|/\*|\"\"\"(?s:.*?)\"\"\"|{_DQ}|{_SQ}|{_ID}|{_NUM}|{_OPS_JAVA}", _c_like, [JAVA]),
-    "c": lambda: Language(rf"{_CBLOCK}|{_CLINE}|/\*|^[ \t]*\#(?:[^\n\\]|\\\n|\\.)+|[LuU]?{_DQ}|[LuU]?{_SQ}|{_ID}|{_NUM}|{_OPS_C}", lambda x: "STR" if x[-1] in "\"'" and len(x) > 1 and x[0] in "LuU\"'" else _c_like(x.lstrip()), [C]),
-    "javascript": lambda: Language(rf"\n|{_CBLOCK}|{_CLINE}|/\*|\A\#![^\n]*|{_DQ}|{_SQ}|{_TEMPLATE}|{_REGEX}|\#?{_ID}|\$[\w$]*|{_NUM}|{_OPS_JS}", _js_kind, [JAVASCRIPT], layout=js_layout),
+    "c": lambda: Language(rf"{_CBLOCK}|{_CLINE}|/\*|^[ \t]*\#(?:[^\n\\]|\\\n|\\.)+|[LuU]?{_DQ}|[LuU]?{_SQ}|{_ID}|{_NUM}|{_OPS_C}", lambda x: "STR" if x[-1] in "\"'" and len(x) > 1 and x[0] in "LuU\"'" else _c_like(x.lstrip()), [C, C_ISO]),
+    "javascript": lambda: Language(rf"\n|{_CBLOCK}|{_CLINE}|/\*|\A\#![^\n]*|{_DQ}|{_SQ}|{_TEMPLATE}|{_REGEX}|\#?{_ID}|\$[\w$]*|{_NUM}|{_OPS_JS}", _js_kind, [JAVASCRIPT, JS_SCRIPT], layout=js_layout),
     "typescript": lambda: Language(rf"\n|{_CBLOCK}|{_CLINE}|/\*|\A\#![^\n]*|{_DQ}|{_SQ}|{_TEMPLATE}|{_REGEX}|\#?{_ID}|\$[\w$]*|{_NUM}|{_OPS_JS}", _js_kind, [TYPESCRIPT], layout=js_layout),
     "go": lambda: Language(rf"\n|{_CBLOCK}|{_CLINE}|/\*|{_DQ}|`[^`]*`|'(?:[^'\\\n]|\\.)+'|{_ID}|{_NUM}|{_OPS_GO}", _c_like, [GO], layout=go_layout),
     "rust": lambda: Language(rf"{_CBLOCK}|{_CLINE}|/\*|b?r\#+\"(?s:.*?)\"\#+|b?r?\"(?:[^\"\\]|\\(?s:.))*\"|b?'(?:[^'\\\n]|\\(?:x..|u\{{[^}}]*\}}|.))'|'{_ID}|(?:r\#)?{_ID}|0[xXbBoO][\da-fA-F_]+\w*|\d[\d_]*(?:\.\d[\d_]*)?(?:[eE][+-]?\d[\d_]*)?\w*|{_OPS_RUST}", _rust_kind, [RUST]),
@@ -1110,7 +1152,7 @@ _LANGUAGES = {
     "toml": lambda: Language(r"\n|#[^\n]*|\"\"\"(?s:.*?)\"\"\"|'''(?s:.*?)'''|\"(?:[^\"\\\n]|\\.)*\"|'[^'\n]*'|\d{4}-\d\d-\d\d(?:[T ]\d\d:\d\d(?::\d\d(?:\.\d+)?)?(?:Z|[+-]\d\d:\d\d)?)?|\d\d:\d\d(?::\d\d(?:\.\d+)?)?|[+-]?\d[\d_]*\.\d[\d_]*(?:[eE][+-]?\d+)?|[+-]?[\w-]+|\S", _toml_kind, [TOML], layout=line_layout),
     "yaml": Yaml,
     "css": lambda: Language(r"/\*(?s:.*?)\*/|/\*|<!--|-->|\"(?:[^\"\\\n]|\\(?s:.))*\"|'(?:[^'\\\n]|\\(?s:.))*'|(?i:url)\([^)\"']*\)|@[-\w]+|\#[-\w]+|[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?(?:%|[A-Za-z]+)?|-{0,2}[^\W\d][-\w]*|\\.|--|\S", _css_kind, [CSS], layout=css_layout),
-    "sql": lambda: Language(r"--[^\n]*|/\*(?s:.*?)\*/|/\*|(?:[eEnNxXbBrR])?'(?:[^'\\]|''|\\(?s:.))*'|\"(?:[^\"]|\"\")*\"|`[^`]*`|\$(\w*)\$(?s:.*?)\$\1\$|::|[:@$%]\w+|%\(\w+\)s|[^\W\d][\w$]*|\d[\w.]*(?:[eE][+-]?\d+)?|\.\d+|->>|<=>|->|<>|<=|>=|!=|==|\|\||!~|~\*|@>|<@|&&|<<|>>|\S".replace(r"\$(\w*)\$(?s:.*?)\$\1\$", r"\$\w*\$(?s:.*?)\$\w*\$"), _sql_kind, [SQL], fold=True),
+    "sql": lambda: Language(r"--[^\n]*|/\*(?s:.*?)\*/|/\*|(?:[eEnNxXbBrR])?'(?:[^'\\]|''|\\(?s:.))*'|\"(?:[^\"]|\"\")*\"|`[^`]*`|\$(\w*)\$(?s:.*?)\$\1\$|::|[:@$%]\w+|%\(\w+\)s|[^\W\d][\w$]*|\d[\w.]*(?:[eE][+-]?\d+)?|\.\d+|->>|<=>|->|<>|<=|>=|!=|==|\|\||!~|~\*|@>|<@|&&|<<|>>|\S".replace(r"\$(\w*)\$(?s:.*?)\$\1\$", r"\$\w*\$(?s:.*?)\$\w*\$"), _sql_kind, [SQL, SQL, TSQL], fold=True, rejects=[*map(_sql_rejects, _SQL_OWN)]),
     "bash": lambda: Language(rf"\n|(?:(?<=\s)|(?<=^)|(?<=[;(]))\#[^\n]*|\\\r?\n|<<-?\s*['\"]?(?P<tag>\w+)['\"]?(?s:.*?)\n\s*(?P=tag)(?=\s|$)|(?<![\w)])\(\((?s:.*?)\)\)|\d*(?:<<<|<>|>\||>>&?|>&\d?-?|<&\d?-?|&>>?|<(?!\()|>(?!\())|&&|\|\||;;&|;;|;&|\|&|[;|&]|{_BW}|[()]|\S", _bash_kind, [BASH], layout=line_layout),
 }
 

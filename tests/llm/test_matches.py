@@ -33,3 +33,12 @@ def test_whole_functions_of_broken_chunks():
     assert names(js, "javascript") == ["a", "c", "d"]
     assert names("func a() {\n}\n\nfunc b( {\n}\nfunc c() {\n}\n", "go") == ["a", "c"]
     assert names("int a(void) { return 1; }\nint b(void) { return 2;\n", "c") == ["a"]
+
+
+def test_dialects_do_not_mix():
+    v = parsing.valid
+    assert v("with (a) { b() }\n", "javascript") and v("import a from 'b';\nawait a();\n", "javascript") and not v("import a from 'b';\nwith (a) { b() }\n", "javascript")
+    assert v("var let = 1, await = 2;\n", "javascript") and not v("export const let = 1;\n", "javascript")
+    assert v("int f(a) int a; { return ({ a; }); }\n", "c") and v("[[nodiscard]] static bool f(int a) { return true; }\n", "c") and not v("[[nodiscard]] int f(a) int a; { return a; }\n", "c")
+    assert v("SELECT `a` FROM b;", "sql") and v("SELECT a::int FROM b;", "sql") and v("SELECT @x, [a] FROM b;", "sql") and not v("SELECT `a`::int FROM b;", "sql")
+    assert [len(parsing.grammars.language(x).dialects) for x in ("javascript", "c", "sql")] == [2, 2, 3]

@@ -381,6 +381,8 @@ class Field:
                 if c:
                     near.add(c)
                 cues.update(w)
+        if len(self._leads) > MEMORY // 20:
+            self._leads.clear()
         place = ("url" in kinds, quoted, marked)
         lead = self._leads.setdefault((frozenset(near), frozenset(cues), place), {})
         leads = []
@@ -725,6 +727,18 @@ def trained(samples: int = SAMPLES, epochs: int = EPOCHS, seed: int = SEED) -> F
     return Field.fit(sequences + [make.sequence(neutral=True) for _ in range(samples // 6)], epochs)
 
 
+_FIELDS: dict[bytes, Field] = {}
+
+
+def _field(index: dict[str, int], weights: np.ndarray, trans: np.ndarray) -> Field:
+    """The field of these weights with what it has in mind; one per process, whatever tasks it runs."""
+    key = weights.tobytes() + trans.tobytes()
+    if key not in _FIELDS:
+        _FIELDS.clear()
+        _FIELDS[key] = Field(index, weights, trans)
+    return _FIELDS[key]
+
+
 # ------------------------------------------------------------------ operator
 
 
@@ -829,7 +843,7 @@ def find_credentials(df: DataFrame, id_col: str = "id", text_col: str = "content
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        field = Field(*parts)
+        field = _field(*parts)
         for batch in batches:
             rows: list[tuple] = []
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):

@@ -1,11 +1,12 @@
 """Packing token sequences into containers of fixed capacity, with certified lower bounds.
 
-Every partition is packed by best-fit decreasing; lower bounds from dual feasible functions
-certify a partition, and the whole corpus. While the corpus is above its bound, containers with a
-gap give their documents up; these are exchanged between fewer, mixed partitions and packed
-again, until the bound is reached, a round gains nothing, one partition is left, or the given
-number of rounds is over. Only numbers
-(id, piece, size) move; texts never leave the scan.
+Every partition is packed by best-fit decreasing, and a lower bound from dual feasible functions
+is computed for it. A partition that needs no more containers than its bound is certified: only
+its emptiest container is left open. In one that is not, every container with a gap is. While the
+corpus is above its own bound, open containers give their documents up; these are exchanged
+between fewer, mixed partitions and packed again, until the bound is reached, a round gains
+nothing, one partition is left, or the given number of rounds is over. Only numbers (id, piece,
+size) move; texts never leave the scan.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ GROUP_ITEMS = 20_000
 TOLERANCE = 0.005
 ROUNDS = 6
 
-SCHEMA = "id bigint, piece_no int, n int, container string, open boolean"
+SCHEMA = "id bigint, piece_no int, n int, container string, open boolean, certified boolean"
 
 
 def lower_bound(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> int:
@@ -85,12 +86,12 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, n
 def _pack_group(pdf: pd.DataFrame, name: str, capacity: int, tolerance: float, final: bool) -> pd.DataFrame:
     sizes = pdf["n"].to_numpy(dtype=np.int64)
     where, used = best_fit_decreasing(sizes, capacity)
-    uniq, cnt = np.unique(sizes, return_counts=True)
-    if final and len(used) == lower_bound(uniq, cnt, capacity):
-        loose = np.zeros(len(used), dtype=bool)  # as few containers as these items allow
-    else:
-        loose = capacity - used > tolerance * capacity
-    return pdf.assign(container=[f"{name}-{c}" for c in where.tolist()], open=loose[where])
+    certified = len(used) == lower_bound(*np.unique(sizes, return_counts=True), capacity)
+    loose = capacity - used > tolerance * capacity
+    if certified:
+        # as few containers as these items allow; together with those of others the emptiest may go
+        loose &= (np.arange(len(used)) == np.argmin(used)) & (not final)
+    return pdf.assign(container=[f"{name}-{c}" for c in where.tolist()], open=loose[where], certified=certified)
 
 
 def _pack_in_place(df: DataFrame, rnd: int, capacity: int, group_items: int, tolerance: float, final: bool) -> DataFrame:
@@ -140,7 +141,10 @@ def items_of(counts: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY
 
 
 def pack_items(items: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS, group_items: int = GROUP_ITEMS, tolerance: float = TOLERANCE) -> tuple[DataFrame, dict]:
-    """Containers for ``(id, piece_no, n)`` and ``{containers, lower_bound, rounds, certified}``.
+    """Containers for ``(id, piece_no, n)`` and ``{containers, lower_bound, rounds, certified, partitions, certified_partitions}``.
+
+    ``certified`` says that no packing needs fewer containers; the counts of partitions are sums
+    over the rounds.
 
     Items without tokens are left out; items above the capacity must have been cut. Repeated rows
     are packed once each. An empty input gives an empty frame and a bound of 0.
@@ -155,11 +159,16 @@ def pack_items(items: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS,
     closed = int(counts[sizes == capacity].sum()) if len(sizes) else 0
     parts = None
     open_bins, last = 0, None
-    rnd = 0
+    rnd = n_groups = n_certified = 0
     for rnd in range(1, rounds + 1):
         # a single partition that its own bound certifies is settled for good
         packed = cut_lineage(_pack_in_place(todo, rnd, capacity, group_items, tolerance, parts == 1))
-        per = packed.groupBy("open").agg(F.count_distinct("container").alias("c"), F.count("*").alias("n")).collect()
+        bins = packed.groupBy("container").agg(F.first("open").alias("open"), F.first("certified").alias("certified"), F.count("*").alias("n"))
+        groups = bins.groupBy(F.substring_index("container", "-", 1).alias("g"), "open").agg(F.count("*").alias("c"), F.sum("n").alias("n"), F.first("certified").alias("certified"))
+        # a handful of figures per round
+        per = groups.groupBy("open").agg(F.sum("c").alias("c"), F.sum("n").alias("n")).collect()
+        told = groups.groupBy("g").agg(F.first("certified").alias("x")).agg(F.count("*").alias("a"), F.count(F.when(F.col("x"), 1)).alias("b")).collect()[0]
+        n_groups, n_certified = n_groups + told["a"], n_certified + told["b"]
         state = {r["open"]: (r["c"], r["n"]) for r in per}
         now = state.get(False, (0, 0))[0] + state.get(True, (0, 0))[0]
         if last is not None and now >= open_bins:
@@ -180,7 +189,7 @@ def pack_items(items: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS,
     for d in done[1:]:
         out = out.unionByName(d)
     total = closed + open_bins
-    return out, {"containers": total, "lower_bound": bound, "rounds": rnd, "certified": total == bound}
+    return out, {"containers": total, "lower_bound": bound, "rounds": rnd, "certified": total == bound, "partitions": n_groups, "certified_partitions": n_certified}
 
 
 def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, path: str = tokens.VOCABULARY, **options) -> tuple[DataFrame, dict]:

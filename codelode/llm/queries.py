@@ -161,6 +161,12 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return packed.groupBy("container").agg(F.count("*").alias("n_pieces"), F.sum("n_tokens").alias("n_tokens"), (F.lit(packing.CAPACITY) - F.sum("n_tokens")).alias("n_free"))
 
 
+def p9_certificate(spark: SparkSession, d: str) -> DataFrame:
+    """Containers used, the bound below which no packing gets, and the partitions that met theirs."""
+    _, info = packing.pack_documents(table(spark, d, "documents"))
+    return spark.createDataFrame([tuple(info[k] for k in ("containers", "lower_bound", "certified", "partitions", "certified_partitions", "rounds"))], "containers bigint, lower_bound bigint, certified boolean, partitions bigint, certified_partitions bigint, rounds int")
+
+
 # 10: wrong character encodings
 
 
@@ -174,7 +180,7 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
     return encodings.restore_encoding(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_reasons, p1_kept, p2_found, p2_pieces, p3_found, p3_spans, p3_redacted, p3_redaction, p4_found, p4_pairs, p5_found, p5_groups, p6_found, p6_rates, p7_found, p7_neighbours, p8_ids, p8_offsets, p8_decoded, p9_packed, p9_containers, p10_found, p10_restored)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_reasons, p1_kept, p2_found, p2_pieces, p3_found, p3_spans, p3_redacted, p3_redaction, p4_found, p4_pairs, p5_found, p5_groups, p6_found, p6_rates, p7_found, p7_neighbours, p8_ids, p8_offsets, p8_decoded, p9_packed, p9_containers, p9_certificate, p10_found, p10_restored)}
 
 ORACLE_SQL: dict[str, str] = {
     "p2_found": "SELECT id FROM code_chunks WHERE length(content) > 2000",

@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from codelode.operators import chunking
 from codelode.operators.embed import HashingProvider, Provider
 from codelode.operators.embed import embed as fill
 from codelode.operators.store import Store
-from codelode.sources.repo import repo_files
+from codelode.sources.repo import read_files, repo_files
 
 
 def chunk_rows(files: DataFrame, make: Callable[[], Provider]) -> DataFrame:
@@ -39,11 +41,12 @@ def index_repository(store: Store, repo_path: str, force: bool = False, name: st
         raise ValueError(f"not a directory: {repo_path}")
     before = store.upsert_project(root, name)
     spark = store.spark
-    disk = repo_files(spark, root, content=False).select("path", "mtime").cache()
+    disk = repo_files(spark, root, content=False).select("path", "mtime", "length", "language").cache()
     old = store.chunks(root)
     indexed = old.select("file_path").distinct()
     gone = indexed.join(disk.select(F.col("path").alias("file_path")), "file_path", "left_anti").cache()
     todo = disk
+    # only what was seen at an older time, or not at all, is opened
     if not force:
         known = store.seen(root).select("path", F.col("mtime").alias("known"))
         same = disk.join(known, "path").where(F.col("mtime") <= F.col("known"))
@@ -51,28 +54,33 @@ def index_repository(store: Store, repo_path: str, force: bool = False, name: st
     n_todo, n_gone = todo.count(), gone.count()
     stats = {"files_found": disk.count(), "files_changed": n_todo, "orphan_files": n_gone, "orphan_chunks_purged": 0, "chunks_written": 0, "total_chunks": before.get("total_chunks") or 0}
     if n_todo or n_gone or force:
-        files = repo_files(spark, root).join(todo.select("path"), "path", "left_semi").where(F.col("content").isNotNull())
+        files = read_files(todo).where(F.col("content").isNotNull()).persist(StorageLevel.DISK_ONLY)
         fresh = chunk_rows(files, make)
         stats["orphan_chunks_purged"] = old.join(gone, "file_path", "left_semi").count()
-        replaced = files.select(F.col("path").alias("file_path"))
-        keep = old.join(gone, "file_path", "left_anti").join(replaced, "file_path", "left_anti").select(*old.columns)
-        n_keep = keep.count()
-        total = store.replace(root, keep.unionByName(fresh), model, make().dim, started, name, disk.where(F.col("mtime").isNotNull()))
-        stats |= {"chunks_written": total - n_keep, "total_chunks": total}
+        void = gone.unionByName(files.select(F.col("path").alias("file_path")))
+        listing = disk.select("path", "mtime").where(F.col("mtime").isNotNull())
+        done = store.apply(root, fresh, void, listing, model, make().dim, started, name)
+        stats |= {"chunks_written": done["written"], "total_chunks": done["total"]}
+        files.unpersist()
     stats["seconds"] = round(time.time() - started, 2)
     disk.unpersist()
     gone.unpersist()
     return stats
 
 
-def auto_reindex(store: Store, force: bool = False, make: Callable[[], Provider] = HashingProvider) -> list[str]:
-    """One line per registered project, after bringing it up to date; folders that are gone are skipped."""
-    out = []
-    for row in store.projects().orderBy("path").collect():  # the registry, not the data
-        if not os.path.isdir(row["path"]):
-            out.append(f"SKIP {row['path']} (directory gone)")
-            continue
-        s = index_repository(store, row["path"], force, make=make)
+def auto_reindex(store: Store, force: bool = False, make: Callable[[], Provider] = HashingProvider, at_once: int = 4) -> list[str]:
+    """One line per registered project, after bringing it up to date; folders that are gone are skipped.
+
+    ``at_once`` projects are under way at a time, so that small ones share the cluster.
+    """
+
+    def one(path: str) -> str:
+        if not os.path.isdir(path):
+            return f"SKIP {path} (directory gone)"
+        s = index_repository(store, path, force, make=make)
         changed = s["files_changed"] or s["orphan_files"]
-        out.append(f"{row['path']}: {s['files_changed']} files, {s['orphan_chunks_purged']} purged" if changed else f"{row['path']}: up to date")
-    return out
+        return f"{path}: {s['files_changed']} files, {s['orphan_chunks_purged']} purged" if changed else f"{path}: up to date"
+
+    paths = [r["path"] for r in store.projects().orderBy("path").collect()]  # the registry, not the data
+    with ThreadPoolExecutor(at_once) as pool:
+        return list(pool.map(one, paths))

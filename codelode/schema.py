@@ -16,6 +16,7 @@ CHUNKS = T.StructType(
         T.StructField("end_line", T.IntegerType()),
         T.StructField("metadata", T.MapType(T.StringType(), T.StringType())),
         T.StructField("embedding", T.ArrayType(T.FloatType())),
+        T.StructField("mtime", T.TimestampType()),
         T.StructField("created_at", T.TimestampType()),
         T.StructField("updated_at", T.TimestampType()),
     ]
@@ -52,6 +53,8 @@ SKIP_DIRS = ("node_modules", ".git", "__pycache__", ".venv", "venv", "env", "dis
 
 MIN_CHUNK, MAX_CHUNK = 100, 2000
 
-#: Model to (dimension, longest text, backend).
-MODELS = {"modernbert-base": (768, 32_000, "local"), "nomic": (768, 32_768, "http"), "modernbert-large": (1024, 32_768, "local"), "hashing": (64, 32_000, "hashing")}
+#: Model to (dimension, longest text, backend), and the public ids of those loaded in process.
+MODELS = {"modernbert-embed-base": (768, 32_768, "local"), "modernbert-embed-large": (1024, 32_768, "local"), "nomic-embed-text": (768, 32_000, "http"), "hashing": (64, None, "hashing")}
+MODEL_IDS = {"modernbert-embed-base": "nomic-ai/modernbert-embed-base", "modernbert-embed-large": "lightonai/modernbert-embed-large"}
+DEFAULT_MODEL = "modernbert-embed-base"
 DEFAULT_DIM, DEFAULT_CHARS, EMBED_BATCH = 768, 32_000, 16

@@ -82,6 +82,24 @@ class RepoFiles(DataSource):
         return RepoReader(self.options, [f.name for f in schema.fields])
 
 
+def read_files(files: DataFrame) -> DataFrame:
+    """The files ``(path, mtime, length, language)`` with their content; null where one can't be read.
+
+    Every task opens the paths it was given, so only these are read. Paths are dealt out first,
+    as a listing of many small rows may sit in one partition.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 64):  # bounds the text in memory
+                part = batch.slice(lo, 64)
+                texts = pa.array([read_text(p) for p in part.column(0).to_pylist()], pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns, texts], names=["path", "mtime", "length", "language", "content"])
+
+    cores = files.sparkSession.sparkContext.defaultParallelism
+    return files.select("path", "mtime", "length", "language").repartition(4 * cores, "path").mapInArrow(run, _DDL)
+
+
 def repo_files(spark: SparkSession, root: str, content: bool = True) -> DataFrame:
     """The files below ``root``; a folder that doesn't exist is a ValueError."""
     if not os.path.isdir(root):

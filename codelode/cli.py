@@ -6,7 +6,7 @@ import argparse
 import json
 import sys
 
-from codelode.api import Engine, to_json, to_text
+from codelode.api import Engine, context_text, to_json, to_text
 from codelode.session import local_session
 
 
@@ -30,6 +30,7 @@ def parser() -> argparse.ArgumentParser:
     x.add_argument("path")
     x.add_argument("--focus")
     x.add_argument("--top-k", type=int, default=5)
+    x.add_argument("--json", action="store_true")
     x = sub.add_parser("stats")
     x.add_argument("--repo")
     sub.add_parser("projects")
@@ -47,7 +48,8 @@ def run(args: argparse.Namespace, engine: Engine) -> str:
         hits = engine.semantic_search(args.query, args.top_k, args.language, args.file_pattern, args.repo, args.min_score)
         return to_json(hits) if args.json else to_text(hits, engine.store.chunks())
     if args.command == "file-context":
-        return json.dumps(engine.get_file_context(args.path, args.focus, args.top_k))
+        context = engine.get_file_context(args.path, args.focus, args.top_k)
+        return json.dumps(context) if args.json else context_text(context)
     if args.command == "stats":
         return json.dumps(engine.get_stats(args.repo))
     if args.command == "projects":

@@ -30,8 +30,8 @@ class Provider(Protocol):
 class HashingProvider:
     """Deterministic bag of hashed words, of length 1; needs no model. Texts without words give None."""
 
-    def __init__(self, dim: int = 64, max_chars: int = schema.DEFAULT_CHARS):
-        self.dim, self.max_chars = dim, max_chars
+    def __init__(self, dim: int = 64, max_chars: int | None = None):
+        self.dim, self.max_chars = dim, max_chars  # a bag of words has no longest text of its own
 
     def embed(self, texts: list[str]) -> list[list[float] | None]:
         out: list[list[float] | None] = []
@@ -88,11 +88,59 @@ class HttpProvider:
         pass
 
 
-_REGISTRY: dict[str, Callable[..., Provider]] = {"hashing": lambda model, **kw: HashingProvider(**kw), "http": lambda model, **kw: HttpProvider(model, **kw)}
+class LocalProvider:
+    """A sentence-embedding model in this process; texts are cut to ``max_chars`` and vectors have length 1.
+
+    Known names stand for public model ids, names with a ``/`` are ids themselves. The model is
+    loaded with the first texts, so once per Python worker; a missing library is a RuntimeError
+    that names it. ``load`` can replace the loader: a function of the id that gives an object with
+    ``encode(texts, batch_size=..., show_progress_bar=..., normalize_embeddings=...)``.
+    """
+
+    def __init__(self, model: str = schema.DEFAULT_MODEL, dim: int | None = None, max_chars: int | None = None, batch: int = schema.EMBED_BATCH, load: Callable[[str], object] | None = None):
+        known = schema.MODELS.get(model)
+        if known is None and "/" not in model:
+            raise ValueError(f"unknown model: {model}; known are {', '.join(schema.MODEL_IDS)}, or a full id such as org/name")
+        self.model_id = schema.MODEL_IDS.get(model, model)
+        self.dim = dim or (known[0] if known else schema.DEFAULT_DIM)
+        self.max_chars = max_chars or (known[1] if known else schema.DEFAULT_CHARS)
+        self.batch, self._load, self._model = batch, load or self._library, None
+
+    @staticmethod
+    def _library(model_id: str):
+        try:
+            from sentence_transformers import SentenceTransformer
+        except ImportError as e:
+            raise RuntimeError("models in process need the library sentence-transformers on every worker") from e
+        return SentenceTransformer(model_id)
+
+    def embed(self, texts: list[str]) -> list[list[float] | None]:
+        if not texts:
+            return []
+        if self._model is None:
+            self._model = self._load(self.model_id)
+        out: list[list[float] | None] = []
+        for lo in range(0, len(texts), self.batch):
+            part = [t[: self.max_chars] for t in texts[lo : lo + self.batch]]
+            got = np.asarray(self._model.encode(part, batch_size=len(part), show_progress_bar=False, normalize_embeddings=True), dtype=np.float64)
+            for v in got:
+                n = np.linalg.norm(v)
+                out.append((v / n).tolist() if len(v) == self.dim and n and np.isfinite(n) else None)
+        return out
+
+    def close(self) -> None:
+        self._model = None
+
+
+_REGISTRY: dict[str, Callable[..., Provider]] = {
+    "hashing": lambda model, **kw: HashingProvider(**kw),
+    "http": lambda model, **kw: HttpProvider(model, **kw),
+    "local": lambda model, **kw: LocalProvider(model, **kw),
+}
 
 
 def register(backend: str, make: Callable[..., Provider]) -> None:
-    """Adds a backend, for example one that loads a model in process."""
+    """Adds a backend, or replaces one."""
     _REGISTRY[backend] = make
 
 

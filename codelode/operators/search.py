@@ -12,10 +12,15 @@ from pyspark.sql.window import Window
 
 from codelode.functions import text as X
 from codelode.functions import vector as V
+from codelode.session import cut_lineage
 
 HIT_COLUMNS = ("id", "file_path", "language", "symbol", "start_line", "end_line")
-#: Query vectors that are broadcast at a time.
-QUERY_BLOCK = 4096
+#: The longest result whose texts are broadcast to its ranking.
+MOST_HITS = 1000
+#: Query vectors that are broadcast for one scan of the chunks (at 64 values, 32 MB), and those multiplied at a time.
+QUERY_PASS, QUERY_BLOCK = 65_536, 4096
+#: From so many chunks of one file on, their places in it are counted over all tasks.
+LARGE_FILE = 10_000
 
 
 def filtered(chunks: DataFrame, language: str | None = None, file_pattern: str | None = None, repo_path: str | None = None) -> DataFrame:
@@ -49,6 +54,17 @@ def semantic_search(chunks: DataFrame, query: Sequence[float], top_k_: int = 10,
     return top_k(filtered(chunks, language, file_pattern, repo_path), query, top_k_, min_score)
 
 
+def with_details(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Hits with ``content``, ``summary`` and ``metadata``, best first.
+
+    The ranking reads narrow columns only. The ids of its few rows come to the driver (a result's
+    length, never the table's), so that texts are read from the row groups that hold them.
+    """
+    ids = [r["id"] for r in hits.select("id").collect()]
+    more = chunks.where(F.col("id").isin(ids) if ids else F.lit(False)).select("id", "content", "summary", "metadata")
+    return hits.join(F.broadcast(more), "id", "left").orderBy(F.desc("score"), "id") if len(ids) <= MOST_HITS else hits.join(more, "id", "left").orderBy(F.desc("score"), "id")
+
+
 def related_chunks(chunks: DataFrame, query: Sequence[float], file_path: str, k: int = 5) -> DataFrame:
     """The best chunks of other files, in all repositories and languages, with no threshold."""
     return top_k(chunks.where(F.col("file_path") != file_path), query, k, None)
@@ -59,11 +75,30 @@ def file_chunks(chunks: DataFrame, file_path: str) -> DataFrame:
     return chunks.where(F.col("file_path") == file_path).orderBy(F.asc_nulls_last("start_line"), "id").select(*HIT_COLUMNS)
 
 
+def numbered(df: DataFrame, order: Sequence[Column], large: int = LARGE_FILE) -> DataFrame:
+    """``df`` with ``position``, from 1, in an order.
+
+    Up to ``large`` rows are counted in one task. More are sorted by ranges over all tasks; one
+    number per range reaches the driver, the rows of the ranges before it.
+    """
+    if df.limit(large + 1).count() <= large:
+        return df.withColumn("position", F.row_number().over(Window.orderBy(*order)))
+    # the places of rows in their partitions hold only for what is written down
+    parts = cut_lineage(df.repartitionByRange(*order).sortWithinPartitions(*order))
+    sizes = {r["p"]: r["n"] for r in parts.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()}
+    before, at = [], 0
+    for p in range(max(sizes) + 1):
+        before.append(at)
+        at += sizes.get(p, 0)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    starts = F.array(*[F.lit(x).cast("bigint") for x in before])
+    return parts.withColumn("position", (F.element_at(starts, F.spark_partition_id() + 1) + place + 1).cast("int"))
+
+
 def file_context(chunks: DataFrame, file_path: str, focus: Sequence[float] | None = None, k: int = 5) -> DataFrame:
     """``(kind, position, id, ...)``: the file's chunks and, with a focus, the related ones."""
-    own = file_chunks(chunks, file_path)
-    w = Window.orderBy(F.asc_nulls_last("start_line"), "id")  # the chunks of one file
-    out = own.select(F.lit("chunk").alias("kind"), F.row_number().over(w).alias("position"), *HIT_COLUMNS, F.lit(None).cast("double").alias("score"))
+    own = numbered(chunks.where(F.col("file_path") == file_path).select(*HIT_COLUMNS), [F.asc_nulls_last("start_line"), F.asc("id")])
+    out = own.select(F.lit("chunk").alias("kind"), "position", *HIT_COLUMNS, F.lit(None).cast("double").alias("score"))
     if focus is None:
         return out
     near = related_chunks(chunks, focus, file_path, k)
@@ -78,20 +113,21 @@ def stats(chunks: DataFrame, repo_path: str | None = None, approximate: bool = F
     return src.agg(F.count("*").alias("total_chunks"), distinct("file_path").alias("total_files"), distinct("language").alias("total_languages"))
 
 
-def batch_search(chunks: DataFrame, queries: DataFrame, k: int = 10, dim: int = 64, block: int = QUERY_BLOCK) -> DataFrame:
+def batch_search(chunks: DataFrame, queries: DataFrame, k: int = 10, dim: int = 64, block: int = QUERY_BLOCK, per_pass: int = QUERY_PASS) -> DataFrame:
     """``(query_id, chunk_id, score, rank)``: exact top-k of many query vectors ``(query_id, embedding)``.
 
-    Queries are taken in blocks of bounded size. Each task multiplies its rows with a block and
-    keeps ``k`` rows per query, so the shuffle is at most ``k`` rows per query and task. Queries
-    and chunks without a direction have no part. A chunk finds itself if it is among the queries.
+    One scan of the chunks answers up to ``per_pass`` queries. Each task multiplies its rows with
+    one block of them after the other and keeps ``k`` rows per query, so the shuffle is at most
+    ``k`` rows per query and task. Queries and chunks without a direction have no part. A chunk
+    finds itself if it is among the queries.
     """
     spark = chunks.sparkSession
     usable_q = queries.where(V.searchable(F.col("embedding"), dim)).select("query_id", F.col("embedding").cast("array<float>").alias("v"))
     src = chunks.where(V.searchable(F.col("embedding"), dim)).select("id", F.col("embedding").cast("array<float>").alias("v"))
     n = usable_q.count()
     out = None
-    for part in range(max(1, -(-n // block))):
-        size = max(1, -(-n // block))
+    size = max(1, -(-n // per_pass))
+    for part in range(size):
         mine = usable_q if size == 1 else usable_q.where(F.pmod(F.xxhash64("query_id"), F.lit(size)) == part)
         rows = mine.toArrow()
         ids = rows.column("query_id").to_numpy()
@@ -101,28 +137,31 @@ def batch_search(chunks: DataFrame, queries: DataFrame, k: int = 10, dim: int =
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             qids, qv = shared.value
-            best = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))  # query number, score, chunk
+            # per block: query number, score, chunk of what is kept, and each query's k-th best score
+            best = [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)) for _ in range(0, len(qids), block)]
             least = np.full((len(qids), 1), -np.inf)
             for batch in batches:
                 for lo in range(0, batch.num_rows, 2048):
                     b = batch.slice(lo, 2048)
                     cid = b.column(0).to_numpy()
                     x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-                    s = np.round(qv @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T, 9)
-                    # after a few blocks hardly anything reaches a query's k-th best; ties do
-                    r, c = np.nonzero(s >= least)
-                    if not len(r):
-                        continue
-                    n, v, i = (np.concatenate(z) for z in zip(best, (r, s[r, c], cid[c]), strict=True))
-                    order = np.lexsort((i, -v, n))
-                    n, v, i = n[order], v[order], i[order]
-                    start = np.searchsorted(n, n)
-                    rank = np.arange(len(n)) - start
-                    keep = rank < k
-                    least[n[rank == k - 1], 0] = v[rank == k - 1]
-                    best = (n[keep], v[keep], i[keep])
-            if len(best[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(qids[best[0]]), pa.array(best[2]), pa.array(best[1])], names=["query_id", "chunk_id", "score"])
+                    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).T
+                    for j, q0 in enumerate(range(0, len(qids), block)):
+                        s = np.round(qv[q0 : q0 + block] @ x, 9)
+                        # after a few batches hardly anything reaches a query's k-th best; ties do
+                        r, c = np.nonzero(s >= least[q0 : q0 + block])
+                        if not len(r):
+                            continue
+                        n, v, i = (np.concatenate(z) for z in zip(best[j], (r + q0, s[r, c], cid[c]), strict=True))
+                        order = np.lexsort((i, -v, n))
+                        n, v, i = n[order], v[order], i[order]
+                        rank = np.arange(len(n)) - np.searchsorted(n, n)
+                        keep = rank < k
+                        least[n[rank == k - 1], 0] = v[rank == k - 1]
+                        best[j] = (n[keep], v[keep], i[keep])
+            for n, v, i in best:
+                if len(n):
+                    yield pa.RecordBatch.from_arrays([pa.array(qids[n]), pa.array(i), pa.array(v)], names=["query_id", "chunk_id", "score"])
 
         found = src.mapInArrow(run, "query_id bigint, chunk_id bigint, score double")
         out = found if out is None else out.unionByName(found)
@@ -136,7 +175,11 @@ def rendered(hits: DataFrame, content: Column, n: int = 25) -> DataFrame:
     return hits.withColumn("rendered", F.concat_ws("\n", head, X.preview(content, n)["rendered"]))
 
 
-def merge_latest(chunks: DataFrame, keys: Sequence[str] = ("file_path", "symbol", "start_line")) -> DataFrame:
-    """Upsert by natural key: of rows with equal keys (nulls equal too) the latest stays."""
-    w = Window.partitionBy(*keys).orderBy(F.desc_nulls_last("created_at"), F.desc("id"))
+def merge_latest(chunks: DataFrame, keys: Sequence[str] = ("file_path", "symbol", "start_line"), newest: str | None = None) -> DataFrame:
+    """Upsert by natural key: of rows with equal keys (nulls equal too) the latest stays.
+
+    Rows with the highest value in ``newest``, if it is given, count as later than all others.
+    """
+    first = [F.desc(newest)] if newest else []
+    w = Window.partitionBy(*keys).orderBy(*first, F.desc_nulls_last("created_at"), F.desc("id"))
     return chunks.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from codelode import schema
 from codelode.functions import text as X
 from codelode.functions import vector as V
 from codelode.operators import chunking, projects, quality, search
-from codelode.operators.embed import HashingProvider
+from codelode.operators.embed import HashingProvider, embed
 from codelode.plans import samples
-from codelode.session import table
+from codelode.session import cut_lineage, ensure_checkpoint_dir, table
+from codelode.sources.fs import Folder
+from codelode.streaming import incremental
 
 DIM = 64
 REPO = "/srv/repos/my_repo"
@@ -53,7 +58,7 @@ _HIT = "id, file_path, language, symbol, start_line, end_line"
 
 def _topk_sql(where: str = "true", k: int = 10, low: float | None = None) -> str:
     extra = "" if low is None else f" WHERE s >= {low}"
-    return f"WITH {_Q}, h AS (SELECT c.*, {_SCORE} AS s FROM code_chunks c, q WHERE {_OK.replace('embedding', 'c.embedding')} AND {where}) SELECT {_HIT}, round(s, 4) + 0.0 AS score FROM h{extra} ORDER BY round(s, 9) DESC, id LIMIT {k}"
+    return f"WITH {_Q}, h AS (SELECT c.*, {_SCORE} AS s FROM code_chunks c, q WHERE {_OK.replace('embedding', 'c.embedding')} AND {where}) SELECT {_HIT}, content, summary, metadata['type'] AS kind, round(s, 4) + 0.0 AS score FROM h{extra} ORDER BY round(s, 9) DESC, id LIMIT {k}"
 
 
 _PROJECT_SQL = "(SELECT max_by(p.path, length(p.path)) FROM projects p WHERE starts_with({0}, p.path || '/'))"
@@ -62,40 +67,48 @@ _PROJECT_SQL = "(SELECT max_by(p.path, length(p.path)) FROM projects p WHERE sta
 # ---------------------------------------------------------------- retrieval
 
 
+def _found(spark, d, k=10, low=None, **filters) -> DataFrame:
+    """Hits for the example vector with their texts; of the metadata, the one key that is always written."""
+    c = chunks(spark, d)
+    hits = search.semantic_search(c, example_vector(spark, d)[0], k, min_score=low, **filters)
+    return search.with_details(hits, c).withColumn("kind", F.try_element_at("metadata", F.lit("type"))).drop("metadata")
+
+
 @query(_topk_sql())
 def semantic_topk(spark, d):
-    return search.semantic_search(chunks(spark, d), example_vector(spark, d)[0], min_score=None)
+    return _found(spark, d)
 
 
 @query(_topk_sql(k=50, low=0.85))
 def semantic_topk_min_score(spark, d):
-    return search.semantic_search(chunks(spark, d), example_vector(spark, d)[0], 50, min_score=0.85)
+    return _found(spark, d, 50, 0.85)
 
 
 @query(_topk_sql("c.language = 'python'"))
 def semantic_topk_language(spark, d):
-    return search.semantic_search(chunks(spark, d), example_vector(spark, d)[0], language="python", min_score=None)
+    return _found(spark, d, language="python")
 
 
 @query(_topk_sql("c.file_path LIKE '%/core/%'"))
 def semantic_topk_file_pattern(spark, d):
-    return search.semantic_search(chunks(spark, d), example_vector(spark, d)[0], file_pattern="%/core/%", min_score=None)
+    return _found(spark, d, file_pattern="%/core/%")
 
 
 @query(_topk_sql(f"starts_with(c.file_path, '{REPO}/')"))
 def semantic_topk_repo(spark, d):
-    return search.semantic_search(chunks(spark, d), example_vector(spark, d)[0], repo_path=REPO + "/", min_score=None)
+    return _found(spark, d, repo_path=REPO + "/")
 
 
 @query(_topk_sql(f"c.language = 'python' AND c.file_path LIKE '%.py' AND starts_with(c.file_path, '{REPO}/')", low=0.3))
 def semantic_topk_all_filters(spark, d):
-    return search.semantic_search(chunks(spark, d), example_vector(spark, d)[0], language="python", file_pattern="%.py", repo_path=REPO)
+    return _found(spark, d, low=0.3, language="python", file_pattern="%.py", repo_path=REPO)
 
 
 @query(_topk_sql("c.file_path <> q.qf", 5))
 def related_chunks(spark, d):
     v, path = example_vector(spark, d)
-    return search.related_chunks(chunks(spark, d), v, path)
+    c = chunks(spark, d)
+    return search.with_details(search.related_chunks(c, v, path), c).withColumn("kind", F.try_element_at("metadata", F.lit("type"))).drop("metadata")
 
 
 @query(f"WITH {_Q} SELECT {_HIT} FROM code_chunks, q WHERE file_path = q.qf")
@@ -156,9 +169,11 @@ def index_stats_repo(spark, d):
     return search.stats(chunks(spark, d), REPO)
 
 
-@query("SELECT id, path, coalesce(metadata['name'], split_part(path, '/', -1)) AS name, strftime(last_indexed, '%Y-%m-%dT%H:%M:%S') AS last_indexed, coalesce(total_chunks, 0) AS total_chunks FROM projects")
+@query("SELECT id, path, coalesce(metadata['name'], split_part(path, '/', -1)) AS name, strftime(last_indexed, '%Y-%m-%dT%H:%M:%S') AS last_indexed, coalesce(total_chunks, 0) AS total_chunks, CAST(row_number() OVER (ORDER BY projects.last_indexed DESC NULLS LAST, id) AS INTEGER) AS position FROM projects")
 def list_projects(spark, d):
-    return projects.list_projects(table(spark, d, "projects"))
+    """The listing with each project's place in it; the registry is small."""
+    order = Window.orderBy(F.desc_nulls_last("last_indexed"), "id")
+    return projects.list_projects(table(spark, d, "projects")).withColumn("position", F.row_number().over(order))
 
 
 @query("SELECT DISTINCT file_path FROM code_chunks")
@@ -320,6 +335,11 @@ def grep_smart_top5(spark, d):
     return quality.grep_smart(chunks(spark, d), table(spark, d, "bench_queries"))
 
 
+@query("SELECT file_path, count(*) AS n_rows, CAST(sum(length(content)) AS BIGINT) AS n_chars FROM code_chunks WHERE regexp_matches(content, 'retr(y|ies)|time[- ]?out|checksum') GROUP BY file_path")
+def grep_regex_files(spark, d):
+    return quality.grep_regex(chunks(spark, d), ["retr(y|ies)", "time[- ]?out", "checksum"])
+
+
 _RES = "res AS (SELECT DISTINCT run_id, model, query_id, rank, chunk_id, score, tokens FROM query_results WHERE score IS NOT NULL AND NOT isnan(score))"
 
 
@@ -344,27 +364,55 @@ def result_chunks(spark, d):
 
 # ---------------------------------------------------------------- embedding and streams
 
+# the provider's vectors: words by a hash, its lowest bit the sign, the others the place; stored as floats
+_VEC = """(SELECT id, list(CAST(v / n AS FLOAT) ORDER BY b) AS e FROM (SELECT id, b, v, sqrt(sum(v * v) OVER (PARTITION BY id)) AS n FROM
+  (SELECT x.id, x.b, CAST(coalesce(y.v, 0) AS DOUBLE) AS v FROM (SELECT id, b FROM {ids}, range({dim}) r(b)) x LEFT JOIN
+    (SELECT id, ((h >> 1) % {dim}) AS b, sum(CASE WHEN h & 1 = 1 THEN 1 ELSE -1 END) AS v FROM
+      (SELECT id, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) AS h FROM (SELECT id, unnest(regexp_extract_all(lower(t), '[a-z0-9]+')) AS w FROM {texts})) GROUP BY ALL) y ON x.id = y.id AND x.b = y.b)) WHERE n > 0 GROUP BY id)"""
 
-@query()
+
+def _runs_sql(models: dict[str, int]) -> str:
+    """Ranks of all chunks for all queries, with the hashing provider in several dimensions."""
+    part = []
+    for name, dim in models.items():
+        c, q = (_VEC.format(dim=dim, ids=x, texts=x) for x in ("(SELECT id, content AS t FROM code_chunks)", "(SELECT query_id AS id, query_text AS t FROM bench_queries)"))
+        score = "round(list_inner_product(c.e::DOUBLE[], q.e::DOUBLE[]) / (sqrt(list_inner_product(c.e::DOUBLE[], c.e::DOUBLE[])) * sqrt(list_inner_product(q.e::DOUBLE[], q.e::DOUBLE[]))), 9)"
+        part.append(f"SELECT '{name}' AS model, CAST(q.id AS BIGINT) AS query_id, c.id AS chunk_id, {score} AS s FROM {c} c, {q} q")
+    return f"SELECT model, query_id, chunk_id, s, CAST(row_number() OVER (PARTITION BY model, query_id ORDER BY s DESC, chunk_id) AS INTEGER) AS rank FROM ({' UNION ALL '.join(part)})"
+
+
+@query(f"SELECT query_id, chunk_id, round(s, 4) + 0.0 AS score, rank FROM ({_runs_sql({'hashing': DIM})}) WHERE rank <= 10")
 def hash_embed_topk(spark, d):
     """Texts of the bench queries against chunk contents, both embedded by the hashing provider."""
-    from codelode.operators.embed import embed
-
     c = embed(chunks(spark, d).select("id", "content"), HashingProvider).select("id", "embedding")
     q = embed(table(spark, d, "bench_queries").select(F.col("query_id").cast("bigint").alias("query_id"), F.col("query_text").alias("content")), HashingProvider).select("query_id", "embedding")
     return search.batch_search(c, q)
 
 
-@query()
-def stream_incremental(spark, d):
-    """Sightings of the listing as a stream that takes what is there, kept at their first occurrence."""
-    import tempfile
+@query(f"SELECT model, query_id, rank, chunk_id, round(s, 4) + 0.0 AS score, CAST(length(content) // 4 AS BIGINT) AS tokens FROM ({_runs_sql({'narrow': 32, 'wide': 64})}) r JOIN code_chunks c ON c.id = r.chunk_id WHERE rank <= 10")
+def quality_runs(spark, d):
+    """Every bench query against every chunk, with two models."""
+    return quality.run_models(chunks(spark, d), table(spark, d, "bench_queries"), {"narrow": partial(HashingProvider, 32), "wide": partial(HashingProvider, 64)})
 
-    from codelode.session import ensure_checkpoint_dir
-    from codelode.streaming import incremental
 
-    base = ensure_checkpoint_dir(spark)
-    work = f"{base}/stream-{next(tempfile._get_candidate_names())}"
+@query("SELECT path, mtime, length FROM (SELECT DISTINCT path, mtime, length FROM source_files)")
+def stream_incremental(spark, d):
+    """Sightings of the listing as a stream that takes what is there, kept at their first occurrence."""
+    base = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
     stream = incremental.changed_stream(spark, f"{d}/source_files.parquet")
-    incremental.run_available(stream, lambda batch, n: batch.write.mode("overwrite").parquet(f"{work}/out/batch={n}"), f"{work}/state")
-    return spark.read.parquet(f"{work}/out").select("path", "mtime", "length").distinct()
+    incremental.run_available(stream, lambda batch, n: batch.write.mode("overwrite").parquet(f"{base}/out/batch={n}"), f"{base}/state")
+    out = spark.read.parquet(f"{base}/out").select("path", "mtime", "length").distinct()
+    # the result moves to a checkpoint, so that neither output nor state of the stream stays behind
+    done = cut_lineage(out)
+    Folder(spark, base).delete("")
+    return done
+
+
+@query("SELECT CAST(date_trunc('day', seen_at) AS TIMESTAMP) AS day, count(*) AS n FROM source_files GROUP BY 1")
+def stream_counts_per_day(spark, d):
+    """Sightings per day as a windowed aggregate of the stream, all days closed at its end."""
+    base = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    incremental.run_complete(incremental.counts_per_day(spark, f"{d}/source_files.parquet"), f"{base}/out", f"{base}/state")
+    done = cut_lineage(spark.read.parquet(f"{base}/out").select(F.col("day").cast("timestamp_ntz").alias("day"), "n"))
+    Folder(spark, base).delete("")
+    return done

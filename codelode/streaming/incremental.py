@@ -30,6 +30,12 @@ def counts_per_day(spark: SparkSession, folder: str, delay: str = "30 days") ->
     return seen.groupBy(F.window("seen", "1 day").alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("day"), "n")
 
 
+def run_complete(counts: DataFrame, out: str, checkpoint: str) -> None:
+    """Writes an aggregated stream over all that is there to ``out``, the open windows included."""
+    q = counts.writeStream.outputMode("complete").foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(out)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+
+
 def run_available(stream: DataFrame, handle, checkpoint: str) -> None:
     """Feeds everything that is there to ``handle(batch, number)`` and ends; the next call goes on from there."""
     q = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

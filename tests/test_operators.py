@@ -139,11 +139,11 @@ def test_semantic_search(spark, vectors):
     assert "TakeOrderedAndProject" in search.semantic_search(vectors, q, 5)._jdf.queryExecution().toString()
 
 
-@pytest.mark.parametrize("block", [4096, 3])
-def test_batch_search(spark, vectors, block):
+@pytest.mark.parametrize("block,per_pass", [(4096, 65_536), (3, 65_536), (2, 5)])
+def test_batch_search(spark, vectors, block, per_pass):
     q = vectors.where("id % 5 = 0").select(F.col("id").alias("query_id"), "embedding")
     got = {}
-    for r in search.batch_search(vectors, q, 4, dim=4, block=block).orderBy("query_id", "rank").collect():
+    for r in search.batch_search(vectors, q, 4, dim=4, block=block, per_pass=per_pass).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append(r["chunk_id"])
     want = {r["id"]: brute(vectors, r["embedding"])[:4] for r in vectors.where("id % 5 = 0 and id < 100").collect()}
     assert got == want

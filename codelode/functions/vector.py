@@ -27,9 +27,9 @@ def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(doubles(v), F.lit(0.0), lambda s, x: s + x * x))
 
 
-def cosine_similarity(a: Column, b: Column) -> Column:
-    """Null for zero vectors, where the angle is undefined."""
-    return F.try_divide(dot(a, b), norm(a) * norm(b))
+def cosine_similarity(a: Column, b: Column, norm_b: Column | None = None) -> Column:
+    """Null for zero vectors, where the angle is undefined. ``norm_b`` is the length of ``b``, if known."""
+    return F.try_divide(dot(a, b), norm(a) * (norm(b) if norm_b is None else norm_b))
 
 
 def cosine_distance(a: Column, b: Column) -> Column:

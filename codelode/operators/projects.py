@@ -28,6 +28,13 @@ def list_projects(projects: DataFrame) -> DataFrame:
     )
 
 
+def by_path(projects: DataFrame, paths: DataFrame) -> DataFrame:
+    """``(path, total_chunks, known)`` of each wanted ``path``, compared exactly; 0 chunks where it is unknown."""
+    known = projects.select(F.col("path").alias("__path"), "total_chunks", F.lit(True).alias("known"))
+    hit = paths.select("path").join(known, F.col("path") == F.col("__path"), "left")
+    return hit.select("path", F.coalesce("total_chunks", F.lit(0)).alias("total_chunks"), F.coalesce("known", F.lit(False)).alias("known"))
+
+
 def upsert_projects(old: DataFrame, new: DataFrame) -> DataFrame:
     """``old`` merged with ``new (path, name)`` on the path: a known project only gets the new name.
 

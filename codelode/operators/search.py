@@ -41,8 +41,8 @@ def top_k(chunks: DataFrame, query: Sequence[float], k: int, min_score: float |
         return spark.createDataFrame([], chunks.select(*columns).schema).withColumn("score", F.lit(None).cast("double"))
     q = V.vector(query)
     length = float(np.linalg.norm(np.asarray(query, dtype=np.float64)))
-    raw = V.dot(F.col("embedding"), q) / (V.norm(F.col("embedding")) * F.lit(length))
-    hits = chunks.where(V.searchable(F.col("embedding"), len(query))).select(*columns, raw.alias("__s"))
+    score = V.cosine_similarity(F.col("embedding"), q, F.lit(length))
+    hits = chunks.where(V.searchable(F.col("embedding"), len(query))).select(*columns, score.alias("__s"))
     # equal to filtering after the limit, as the order is exact
     if min_score is not None:
         hits = hits.where(F.col("__s") >= min_score)

@@ -156,6 +156,33 @@ def embedding_validity(spark, d):
     return chunks(spark, d).groupBy(V.validity(F.col("embedding"), DIM).alias("state")).agg(F.count("*").alias("n"))
 
 
+@query(f"SELECT id, round(1 - list_inner_product(c.embedding::DOUBLE[], q.qv) / (sqrt(list_inner_product(c.embedding::DOUBLE[], c.embedding::DOUBLE[])) * sqrt(list_inner_product(q.qv, q.qv))), 4) + 0.0 AS distance FROM code_chunks c, q WHERE {_OK.replace('embedding', 'c.embedding')}".replace("SELECT id", f"WITH {_Q} SELECT id", 1))
+def cosine_distances(spark, d):
+    q = V.vector(example_vector(spark, d)[0])
+    usable = chunks(spark, d).where(V.searchable(F.col("embedding"), DIM))
+    return usable.select("id", F.round(V.cosine_distance(F.col("embedding"), q), 4).alias("distance"))
+
+
+@query(f"SELECT {_HIT}, 0.0 AS score FROM code_chunks WHERE false")
+def semantic_zero_vector(spark, d):
+    """A query without a direction, made by the zero vector, finds nothing."""
+    zero = spark.range(1).select(V.zero_vector(DIM).alias("v")).collect()[0]["v"]
+    return search.semantic_search(chunks(spark, d), zero)
+
+
+_LINES25 = "string_split(content, chr(10))"
+
+
+@query(
+    f"WITH {_Q}, h AS (SELECT c.*, {_SCORE} AS s FROM code_chunks c, q WHERE {_OK.replace('embedding', 'c.embedding')} ORDER BY round(s, 9) DESC, id LIMIT 10) "
+    f"SELECT id, printf('%s:%s-%s %s (%.3f)', file_path, coalesce(CAST(start_line AS VARCHAR), '?'), coalesce(CAST(end_line AS VARCHAR), '?'), coalesce(symbol, ''), round(s, 4)) || chr(10) || array_to_string(list_slice({_LINES25}, 1, 25), chr(10)) "
+    f"|| CASE WHEN len({_LINES25}) > 25 THEN printf('%s... (%d more lines)', chr(10), len({_LINES25}) - 25) ELSE '' END AS rendered FROM h"
+)
+def rendered_hits(spark, d):
+    """Hits as text: a head line and the first 25 lines."""
+    return search.rendered(_found(spark, d), F.col("content"), 25).select("id", "rendered")
+
+
 # ---------------------------------------------------------------- statistics and listings
 
 
@@ -219,6 +246,24 @@ def preview_25_lines(spark, d):
     return chunks(spark, d).select("id", p["head"].alias("head"), p["more_lines"].alias("more_lines"))
 
 
+_WHITE = "\\t\\n\\x{0b}\\x{0c}\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
+
+
+@query(f"SELECT doc_id, substr(text, 1, 50) AS head, CAST(length(regexp_replace(text, '^[{_WHITE}]+|[{_WHITE}]+$', '', 'g')) AS INTEGER) AS n_stripped, NOT regexp_matches(text, '[^{_WHITE}]') AS blank, CAST(length(regexp_replace(text, '\\r\\n?', chr(10), 'g')) AS INTEGER) AS n_unix FROM documents")
+def text_functions(spark, d):
+    """Cutting, stripping, blankness and line ends of every document."""
+    t = F.col("text")
+    return table(spark, d, "documents").select("doc_id", X.truncate(t, 50).alias("head"), F.length(X.strip(t)).alias("n_stripped"), X.is_blank(t).alias("blank"), F.length(X.unix_lines(t)).alias("n_unix"))
+
+
+@query("SELECT q.path, coalesce(p.total_chunks, 0) AS total_chunks, p.path IS NOT NULL AS known FROM (SELECT path FROM projects UNION ALL SELECT '/srv/repos/nowhere') q LEFT JOIN projects p ON p.path = q.path")
+def project_lookup(spark, d):
+    """Projects by their exact path; unknown ones have no chunks. Asked for: all, and one that isn't there."""
+    p = table(spark, d, "projects")
+    wanted = p.select("path").union(spark.createDataFrame([("/srv/repos/nowhere",)], "path string"))
+    return projects.by_path(p, wanted)
+
+
 # ---------------------------------------------------------------- maintenance
 
 

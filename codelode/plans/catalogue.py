@@ -175,7 +175,7 @@ _LINES25 = "string_split(content, chr(10))"
 
 @query(
     f"WITH {_Q}, h AS (SELECT c.*, {_SCORE} AS s FROM code_chunks c, q WHERE {_OK.replace('embedding', 'c.embedding')} ORDER BY round(s, 9) DESC, id LIMIT 10) "
-    f"SELECT id, printf('%s:%s-%s %s (%.3f)', file_path, coalesce(CAST(start_line AS VARCHAR), '?'), coalesce(CAST(end_line AS VARCHAR), '?'), coalesce(symbol, ''), round(s, 4)) || chr(10) || array_to_string(list_slice({_LINES25}, 1, 25), chr(10)) "
+    f"SELECT id, printf('%s:%s-%s %s (%.3f)', file_path, coalesce(CAST(start_line AS VARCHAR), '?'), coalesce(CAST(end_line AS VARCHAR), '?'), coalesce(symbol, ''), CAST(round(CAST(round(s, 4) AS DECIMAL(10, 4)), 3) AS DOUBLE)) || chr(10) || array_to_string(list_slice({_LINES25}, 1, 25), chr(10)) "
     f"|| CASE WHEN len({_LINES25}) > 25 THEN printf('%s... (%d more lines)', chr(10), len({_LINES25}) - 25) ELSE '' END AS rendered FROM h"
 )
 def rendered_hits(spark, d):
@@ -440,13 +440,16 @@ def quality_runs(spark, d):
     return quality.run_models(chunks(spark, d), table(spark, d, "bench_queries"), {"narrow": partial(HashingProvider, 32), "wide": partial(HashingProvider, 64)})
 
 
-@query("SELECT path, mtime, length FROM (SELECT DISTINCT path, mtime, length FROM source_files)")
+@query("SELECT DISTINCT path, mtime FROM source_files")
 def stream_incremental(spark, d):
-    """Sightings of the listing as a stream that takes what is there, kept at their first occurrence."""
+    """Files of the listing with their modification, each once, from a stream that takes what is there.
+
+    A file seen again with the same modification is dropped, whatever length is listed then.
+    """
     base = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
     stream = incremental.changed_stream(spark, f"{d}/source_files.parquet")
     incremental.run_available(stream, lambda batch, n: batch.write.mode("overwrite").parquet(f"{base}/out/batch={n}"), f"{base}/state")
-    out = spark.read.parquet(f"{base}/out").select("path", "mtime", "length").distinct()
+    out = spark.read.parquet(f"{base}/out").select("path", "mtime").distinct()
     # the result moves to a checkpoint, so that neither output nor state of the stream stays behind
     done = cut_lineage(out)
     Folder(spark, base).delete("")

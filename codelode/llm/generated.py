@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codelode.llm import grammars
-from codelode.llm.parsing import extension
+from codelode.llm.parsing import language_column
 from codelode.session import spread
 
 #: Directory names of copied-in and of generated code, and endings of file names (fixed values).
@@ -260,8 +260,7 @@ def file_shapes(chunks: DataFrame, ext_languages: DataFrame) -> DataFrame:
 
 def _with_language_left(chunks: DataFrame, ext_languages: DataFrame) -> DataFrame:
     """All rows with the language of their extension, null where it is unknown."""
-    ext = ext_languages.select(F.lower("ext").alias("__ext"), F.col("language").alias("language")).dropDuplicates(["__ext"])
-    return spread(chunks.select("file_path", "content", extension(F.col("file_path")).alias("__ext"))).join(F.broadcast(ext), "__ext", "left").select("file_path", "language", "content")
+    return spread(chunks.select("file_path", language_column(ext_languages, F.col("file_path")).alias("language"), "content"))
 
 
 def not_hand_written(chunks: DataFrame, ext_languages: DataFrame) -> DataFrame:

@@ -324,10 +324,26 @@ def functions(text: str, language: str) -> tuple[bool, list[tuple[str, str, int,
 # ------------------------------------------------------------------ operators
 
 
+#: Extensions that a table of them may have; it becomes a literal of the plan.
+MOST_EXTENSIONS = 1000
+
+
+def language_column(ext_languages: DataFrame, path: Column) -> Column:
+    """Language by extension, null where it is unknown. Of several languages of one extension the first by name counts."""
+    rows = ext_languages.select(F.lower("ext").alias("ext"), "language").where("ext is not null and language is not null").distinct().limit(MOST_EXTENSIONS + 1).collect()
+    if len(rows) > MOST_EXTENSIONS:
+        raise ValueError(f"more than {MOST_EXTENSIONS} extensions")
+    known: dict[str, str] = {}
+    for r in sorted(rows):
+        known.setdefault(r["ext"], r["language"])
+    if not known:
+        return F.lit(None).cast("string")
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in known.items() for x in kv]), extension(path))
+
+
 def _with_language(chunks: DataFrame, ext_languages: DataFrame, cols: list[Column]) -> DataFrame:
-    """The wanted columns and ``language`` by extension; the table of extensions is fixed and small."""
-    ext = ext_languages.select(F.lower("ext").alias("__ext"), F.col("language").alias("language")).dropDuplicates(["__ext"])
-    return spread(chunks.select(*cols, extension(F.col("file_path")).alias("__ext"))).join(F.broadcast(ext), "__ext").drop("__ext")
+    """The wanted columns and ``language`` by extension; rows of unknown extensions are left out."""
+    return spread(chunks.select(*cols, language_column(ext_languages, F.col("file_path")).alias("language")).where(F.col("language").isNotNull()))
 
 
 def invalid_files(chunks: DataFrame, ext_languages: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 
 from codelode.api import Engine, to_json, to_text
 from codelode.cli import parser, run
-from codelode.sources.repo import read_text, repo_files, walk
+from codelode.sources.repo import RepoReader, read_text, repo_files, split_walk, walk
 
 FUNC = "def {0}(a):\n    " + '"""Reads the {0} and returns what it holds, for tests of the index."""\n    return [a, "{0}", a, a, a]\n'
 
@@ -38,6 +38,20 @@ def test_walk_and_read(spark, repo):
         repo_files(spark, str(repo / "nowhere"))
 
 
+@pytest.mark.parametrize("trees", [1, 2, 3, 64])
+def test_parts_of_a_walk(repo, trees):
+    for k in range(9):
+        (repo / "deep" / f"d{k % 3}" / f"e{k}").mkdir(parents=True)
+        (repo / "deep" / f"d{k % 3}" / f"e{k}" / "x.py").write_text("x")
+    (repo / "link").symlink_to(repo / "deep")
+    (repo / "none").mkdir()
+    files, folders = split_walk(str(repo), trees)
+    assert sorted(files + [p for f in folders for p in walk(f)]) == sorted(walk(str(repo))) and (trees == 64 or folders)
+    reader = RepoReader({"path": str(repo), "trees": str(trees), "filesperpartition": "2", "content": "false"}, [])
+    got = [p for part in reader.partitions() for b in reader.read(part) for p in b.column(0).to_pylist()]
+    assert sorted(got) == sorted(walk(os.path.realpath(repo)))
+
+
 def test_life_of_an_index(spark, repo, tmp_path):
     e = Engine(spark, str(tmp_path / "table"))
     root = str(repo)

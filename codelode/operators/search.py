@@ -15,7 +15,7 @@ from codelode.functions import vector as V
 from codelode.session import cut_lineage
 
 HIT_COLUMNS = ("id", "file_path", "language", "symbol", "start_line", "end_line")
-#: The longest result whose texts are broadcast to its ranking.
+#: The longest result to which texts are fetched.
 MOST_HITS = 1000
 #: Query vectors that are broadcast for one scan of the chunks (at 64 values, 32 MB), and those multiplied at a time.
 QUERY_PASS, QUERY_BLOCK = 65_536, 4096
@@ -57,12 +57,16 @@ def semantic_search(chunks: DataFrame, query: Sequence[float], top_k_: int = 10,
 def with_details(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     """Hits with ``content``, ``summary`` and ``metadata``, best first.
 
-    The ranking reads narrow columns only. The ids of its few rows come to the driver (a result's
-    length, never the table's), so that texts are read from the row groups that hold them.
+    The ranking reads narrow columns only, once. Its rows come to the driver, at most ``MOST_HITS``
+    of them, and texts are read from the row groups that hold their ids. ``hits`` are rows of ``chunks``.
     """
-    ids = [r["id"] for r in hits.select("id").collect()]
+    rows = hits.limit(MOST_HITS + 1).collect()
+    if len(rows) > MOST_HITS:
+        raise ValueError(f"more than {MOST_HITS} hits: join them with the chunks instead")
+    ids = [r["id"] for r in rows]
     more = chunks.where(F.col("id").isin(ids) if ids else F.lit(False)).select("id", "content", "summary", "metadata")
-    return hits.join(F.broadcast(more), "id", "left").orderBy(F.desc("score"), "id") if len(ids) <= MOST_HITS else hits.join(more, "id", "left").orderBy(F.desc("score"), "id")
+    best = hits.sparkSession.createDataFrame(rows, hits.schema)
+    return more.join(F.broadcast(best), "id").select(*hits.columns, "content", "summary", "metadata").orderBy(F.desc("score"), "id")
 
 
 def related_chunks(chunks: DataFrame, query: Sequence[float], file_path: str, k: int = 5) -> DataFrame:

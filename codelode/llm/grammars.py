@@ -568,6 +568,23 @@ lparams := lparam (',' lparam)* ','?
 lparam := '/' | '*' id? | '**' id | id ('=' test)?
 """
 
+#: Python before 3.7: ``async`` and ``await`` are names where they head nothing, and there is no
+#: ``match``, no assignment within expressions, no positional-only parameter, no ``except*``.
+PYTHON_OLD = PYTHON
+for _new, _old in (
+    (" | match\n", "\n"),
+    ("id := NAME | 'match' | 'case' | 'type' | 'print' | 'exec'", "id := NAME | 'match' | 'case' | 'type' | 'print' | 'exec' | 'async' | 'await'"),
+    ("named := test (':=' test)?", "named := test"),
+    ("param := '/' | '*'", "param := '*'"),  # of lambdas, too
+    ("'except' '*'? (", "'except' ("),
+    (" | 'type' id tparams? '=' test\n", "\n"),
+    ("'def' id tparams? '('!", "'def' id '('!"),
+    ("'class' id tparams? (", "'class' id ("),
+):
+    if _new not in PYTHON_OLD:
+        raise ValueError(f"grammar: {_new}")
+    PYTHON_OLD = PYTHON_OLD.replace(_new, _old)
+
 # ---------------------------------------------------------------- data languages
 
 JSON = r"""
@@ -1147,7 +1164,7 @@ _LANGUAGES = {
     "typescript": lambda: Language(rf"\n|{_CBLOCK}|{_CLINE}|/\*|\A\#![^\n]*|{_DQ}|{_SQ}|{_TEMPLATE}|{_REGEX}|\#?{_ID}|\$[\w$]*|{_NUM}|{_OPS_JS}", _js_kind, [TYPESCRIPT], layout=js_layout),
     "go": lambda: Language(rf"\n|{_CBLOCK}|{_CLINE}|/\*|{_DQ}|`[^`]*`|'(?:[^'\\\n]|\\.)+'|{_ID}|{_NUM}|{_OPS_GO}", _c_like, [GO], layout=go_layout),
     "rust": lambda: Language(rf"{_CBLOCK}|{_CLINE}|/\*|b?r\#+\"(?s:.*?)\"\#+|b?r?\"(?:[^\"\\]|\\(?s:.))*\"|b?'(?:[^'\\\n]|\\(?:x..|u\{{[^}}]*\}}|.))'|'{_ID}|(?:r\#)?{_ID}|0[xXbBoO][\da-fA-F_]+\w*|\d[\d_]*(?:\.\d[\d_]*)?(?:[eE][+-]?\d[\d_]*)?\w*|{_OPS_RUST}", _rust_kind, [RUST]),
-    "python": lambda: Language(rf"\n[ \t]*|\#[^\n]*|{_PYSTR}|\\\r?\n|[^\W\d]\w*|0[xXbBoO][\da-fA-F_]+\w*|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?\w*|{_OPS_PY}", _python_kind, [PYTHON], layout=python_layout),
+    "python": lambda: Language(rf"\n[ \t]*|\#[^\n]*|{_PYSTR}|\\\r?\n|[^\W\d]\w*|0[xXbBoO][\da-fA-F_]+\w*|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?\w*|{_OPS_PY}", _python_kind, [PYTHON, PYTHON_OLD], layout=python_layout),
     "json": lambda: Language(r'"(?:[^"\\\n]|\\.)*"|[-+\w.]+|\S', _json_kind, [JSON]),
     "toml": lambda: Language(r"\n|#[^\n]*|\"\"\"(?s:.*?)\"\"\"|'''(?s:.*?)'''|\"(?:[^\"\\\n]|\\.)*\"|'[^'\n]*'|\d{4}-\d\d-\d\d(?:[T ]\d\d:\d\d(?::\d\d(?:\.\d+)?)?(?:Z|[+-]\d\d:\d\d)?)?|\d\d:\d\d(?::\d\d(?:\.\d+)?)?|[+-]?\d[\d_]*\.\d[\d_]*(?:[eE][+-]?\d+)?|[+-]?[\w-]+|\S", _toml_kind, [TOML], layout=line_layout),
     "yaml": Yaml,

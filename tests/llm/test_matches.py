@@ -41,4 +41,6 @@ def test_dialects_do_not_mix():
     assert v("var let = 1, await = 2;\n", "javascript") and not v("export const let = 1;\n", "javascript")
     assert v("int f(a) int a; { return ({ a; }); }\n", "c") and v("[[nodiscard]] static bool f(int a) { return true; }\n", "c") and not v("[[nodiscard]] int f(a) int a; { return a; }\n", "c")
     assert v("SELECT `a` FROM b;", "sql") and v("SELECT a::int FROM b;", "sql") and v("SELECT @x, [a] FROM b;", "sql") and not v("SELECT `a`::int FROM b;", "sql")
-    assert [len(parsing.grammars.language(x).dialects) for x in ("javascript", "c", "sql")] == [2, 2, 3]
+    assert v("async = 1\nawait = async\n", "python") and v("if (n := f()) > 1:\n    pass\n", "python") and not v("async = (n := 1)\n", "python")
+    assert v("async def f():\n    await g()\n", "python") and not v("print 'x'\n", "python") and names("async def f():\n    pass\nasync = 1\n", "python") == ["f"]
+    assert [len(parsing.grammars.language(x).dialects) for x in ("javascript", "c", "sql", "python")] == [2, 2, 3, 2]
